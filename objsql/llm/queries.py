@@ -6,17 +6,44 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from objsql.llm.byte_bpe import encode_documents
-from objsql.llm.common import read
+from objsql.llm.common import fresh_path, read
+from objsql.llm.quality import quality_filter
 from objsql.llm.token_counts import token_counts
+from objsql.llm.warc import archive_roundtrip
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_filter(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality_score")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archive_roundtrip(read(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP7_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS d,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS f
+  FROM pages
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), j -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+         (CAST('0x' || substr(d, CAST(1 + 10 * (j // 8) AS INT), 10) AS BIGINT) >> CAST(35 - 5 * (j % 8) AS INT)) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+       CASE WHEN f < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f < page_id THEN f END AS refers_to
+FROM p
+"""
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op5_token_counts, op8_byte_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op5_token_counts, op6_quality_rules, op7_warc, op8_byte_bpe)}
+ORACLE_SQL: dict[str, str] = {"op7_warc": OP7_SQL}
