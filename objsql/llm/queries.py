@@ -33,7 +33,7 @@ WITH p AS (
   FROM pages
 )
 SELECT page_id, payload_bytes,
-       array_to_string(list_transform(range(32), j -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+       array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
          (CAST('0x' || substr(d, CAST(1 + 10 * (j // 8) AS INT), 10) AS BIGINT) >> CAST(35 - 5 * (j % 8) AS INT)) & 31 AS INT) + 1, 1)), '') AS payload_digest,
        CASE WHEN f < page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN f < page_id THEN f END AS refers_to
