@@ -7,11 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from objsql.llm.byte_bpe import encode_documents
 from objsql.llm.common import fresh_path, read
+from objsql.llm.near_dedup import near_duplicates
 from objsql.llm.quality import quality_filter
 from objsql.llm.token_counts import token_counts
 from objsql.llm.warc import archive_roundtrip
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -45,5 +50,5 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op5_token_counts, op6_quality_rules, op7_warc, op8_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op3_near_dedup, op5_token_counts, op6_quality_rules, op7_warc, op8_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {"op7_warc": OP7_SQL}
