@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_folder: list[str] = []
 
@@ -46,3 +47,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+#: Rows of a few numbers each that may be broadcast: some 20 MB.
+BROADCAST_ROWS = 250_000
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most that many rows, else as it is, to be joined by a shuffle.
+
+    ``df`` should be cheap to count, as after ``settled``, and its rows short.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

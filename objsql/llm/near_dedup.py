@@ -25,9 +25,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from objsql.llm.common import settled, written
+from objsql.llm.common import settled, small_side, written
 from objsql.llm.grouping import connected_groups, verified_links
-from objsql.llm.text_kernel import PUNCT, Run, combine, mix, runs
+from objsql.llm.text_kernel import PUNCT, Run, combine, mix, runs, sequence_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -46,12 +46,7 @@ def shingles(run: Run, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.n
     grams, begins = combine(words, owner, width)
     n_words = np.bincount(owner, minlength=len(run))
     first = np.concatenate([[0], np.cumsum(n_words)])
-    # The words of a text in order: a sum of word hashes times odd powers.
-    step = np.cumprod(np.full(len(words), 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64) if len(words) else words
-    inverse = np.cumprod(np.full(len(words) + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64), dtype=np.uint64)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * step)])
-    content = mix((total[first[1:]] - total[first[:-1]]) * inverse[first[:-1]] + n_words.astype(np.uint64))
-    content[n_words == 0] = 0
+    content = sequence_hashes(words, first)
     short = np.flatnonzero((n_words > 0) & (n_words < width))
     own = np.concatenate([owner[begins], short])
     grams = np.concatenate([grams, content[short]])
@@ -266,7 +261,7 @@ def near_duplicates(
     crowded = members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key")
     members = settled(members.join(crowded, "key").select("key", "id"))
     wanted = settled(members.select("id").distinct())
-    sets = _sets(texts.join(wanted, "id", "left_semi"), width)
+    sets = _sets(texts.join(small_side(wanted), "id", "left_semi"), width)
     # Of an id with several texts, the text that it stands for.
     sets = written(sets.join(heads.select(F.col("head").alias("id"), "content"), ["id", "content"], "left_semi").dropDuplicates(["id", "content"]), "sets")
 

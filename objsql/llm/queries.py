@@ -7,12 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from objsql.llm.byte_bpe import encode_documents
 from objsql.llm.common import fresh_path, read
+from objsql.llm.line_dedup import dedup_lines
 from objsql.llm.near_dedup import near_duplicates
 from objsql.llm.quality import quality_filter
 from objsql.llm.token_counts import token_counts
+from objsql.llm.toxicity import fit_toxicity, toxicity
 from objsql.llm.warc import archive_roundtrip
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    chain = fit_toxicity(docs, read(spark, sf_dir, "labels"))
+    return toxicity(docs, chain, keep=("doc_id",))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -50,5 +58,9 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op3_near_dedup, op5_token_counts, op6_quality_rules, op7_warc, op8_byte_bpe)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_dropped")
+
+
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_near_dedup, op5_token_counts, op6_quality_rules, op7_warc, op8_byte_bpe, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {"op7_warc": OP7_SQL}

@@ -119,3 +119,14 @@ def combine(hashes: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarr
     for k in range(1, width):
         out = mix(out * _MULTIPLIER + hashes[begins + k])
     return out, begins
+
+
+def sequence_hashes(hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """One hash for each stretch of items, firsts[i] to firsts[i + 1]; 0 for an empty one, equal for equal stretches."""
+    up, down = _power_table(len(hashes) + 1)
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
+    n = np.diff(firsts)
+    out = mix((total[firsts[1:]] - total[firsts[:-1]]) * down[firsts[:-1]] + n.astype(np.uint64))
+    out[n == 0] = 0
+    return out
