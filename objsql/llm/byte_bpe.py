@@ -8,7 +8,8 @@ neighbours of a merged pair enter the index anew. The result is what merging
 word by word gives, because a merge touches its own word only and, within a
 word, the lowest rank goes first and the leftmost position of it first.
 
-The corpus of a replay is the new words of some documents of a task: words
+Positions are arrays, so that a merge is a few array operations however often
+its pair stands. The corpus of a replay is the new words of some documents of a task: words
 already encoded are remembered, up to a bound.
 """
 
@@ -17,8 +18,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,99 +42,133 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class MergeReplay:
     """Encodes words by ranks and decodes ids."""
 
+    NONE = 1 << 40  # the rank of two tokens that don't merge
+
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        self.size = max(ranks.values(), default=-1) + 1
+        self.tokens = [b""] * self.size
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.byte_ids = [ranks.get(bytes([b]), -1) for b in range(256)]
-        self.merged: dict[tuple[int, int], int] = {}
-
-    def _merge_of(self, left: int, right: int) -> int:
-        """The id that two neighbouring tokens merge to, or -1."""
-        found = self.merged.get((left, right))
-        if found is None:
-            found = self.merged[left, right] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
-        return found
-
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word."""
-        out: list[list[int] | None] = [None] * len(words)
-        token: list[int] = []  # token at each position, -1: none
-        after: list[int] = []
-        before: list[int] = []
-        begins: list[tuple[int, int]] = []
-        for n, word in enumerate(words):
-            whole = self.ranks.get(word)
-            if whole is not None:
-                out[n] = [whole]
-                continue
-            start = len(token)
-            begins.append((n, start))
-            token += [self.byte_ids[b] for b in word]
-            after += range(start + 1, start + len(word) + 1)
-            before += range(start - 1, start + len(word) - 1)
-            if word:
-                before[start], after[-1] = -1, -1
-
-        index: dict[tuple[int, int], list[int]] = defaultdict(list)
-        heap: list[tuple[int, int, int]] = []
-
-        def note(left: int, right: int, position: int) -> None:
-            rank = self._merge_of(left, right)
-            if rank >= 0:
-                places = index[left, right]
-                if not places:
-                    heapq.heappush(heap, (rank, left, right))
-                places.append(position)
-
-        for position, following in enumerate(after):
-            if following >= 0:
-                note(token[position], token[following], position)
+        self.byte_ids = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        # Every pair of tokens that makes a token, as left * size + right, and the token made.
+        made = [
+            (ranks[token[:k]] * self.size + ranks[token[k:]], rank)
+            for token, rank in ranks.items()
+            for k in range(1, len(token))
+            if token[:k] in ranks and token[k:] in ranks
+        ]
+        table = np.array(sorted(made), np.int64).reshape(-1, 2)
+        self.pairs, self.merged = np.append(table[:, 0], -1), np.append(table[:, 1], self.NONE)
+
+    def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The token that two neighbours merge to, or NONE."""
+        pair = left * self.size + right
+        at = np.searchsorted(self.pairs[:-1], pair)
+        return np.where(self.pairs[at] == pair, self.merged[at], self.NONE)
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, packed as little-endian 32-bit numbers."""
+        whole = [self.ranks.get(word, -1) for word in words]
+        parts = [b"" if rank >= 0 else word for word, rank in zip(words, whole)]
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        ends = np.cumsum(lengths)
+        token = self.byte_ids[np.frombuffer(b"".join(parts), np.uint8)]
+        n = len(token)
+        # Position n stands for none, before the first and after the last of a word.
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[ends[lengths > 0] - 1] = n
+        before[(ends - lengths)[lengths > 0]] = n
+        after[n], token = n, np.append(token, -1)
+        # Rank of the pair that begins at each position.
+        rank_at = np.full(n + 1, self.NONE)
+        inner = np.flatnonzero(after[:n] < n)
+        rank_at[inner] = self._rank_of(token[inner], token[inner + 1])
+
+        index: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def note(positions: np.ndarray) -> None:
+            found = rank_at[positions]
+            order = np.argsort(found, kind="stable")
+            positions, found = positions[order], found[order]
+            cut = np.flatnonzero(found[1:] != found[:-1]) + 1
+            for own, rank in zip(np.split(positions, cut), found[np.concatenate([[0], cut])].tolist()):
+                places = index.get(rank)
+                if places is None:
+                    index[rank] = [own]
+                    heapq.heappush(heap, rank)
+                else:
+                    places.append(own)
+
+        first = inner[rank_at[inner] < self.NONE]
+        if len(first):
+            note(first)
         while heap:
-            rank, left, right = heapq.heappop(heap)
-            for position in sorted(index.pop((left, right), ())):
-                if token[position] != left:
-                    continue
-                gone = after[position]
-                if gone < 0 or token[gone] != right:
-                    continue  # a neighbour was merged since
-                token[position], token[gone] = rank, -1
-                following, previous = after[gone], before[position]
-                after[position] = following
-                if following >= 0:
-                    before[following] = position
-                    note(rank, token[following], position)
-                if previous >= 0:
-                    note(token[previous], rank, previous)
-        for n, position in begins:
-            ids = []
-            while position >= 0 and words[n]:
-                ids.append(token[position])
-                position = after[position]
-            out[n] = ids
-        return out
+            rank = heapq.heappop(heap)
+            places = index.pop(rank)
+            at = np.unique(np.concatenate(places) if len(places) > 1 else places[0])
+            at = at[rank_at[at] == rank]
+            if not len(at):
+                continue
+            gone = after[at]
+            clash = rank_at[gone] == rank
+            if clash.any():
+                # Overlapping pairs: the leftmost goes first.
+                keep, taken = [], -1
+                for here, there in zip(at.tolist(), gone.tolist()):
+                    if here != taken:
+                        keep.append(here)
+                        taken = there
+                at = np.array(keep)
+                gone = after[at]
+            following = after[gone]
+            token[at], token[gone] = rank, -1
+            after[at], rank_at[gone] = following, self.NONE
+            inside = following < n
+            before[following[inside]] = at[inside]
+            rank_at[at] = self.NONE
+            rank_at[at[inside]] = self._rank_of(token[at[inside]], token[following[inside]])
+            previous = before[at]
+            previous = previous[previous < n]
+            rank_at[previous] = self._rank_of(token[previous], token[after[previous]])
+            touched = np.concatenate([at, previous])
+            touched = touched[rank_at[touched] < self.NONE]
+            if len(touched):
+                note(touched)
+        alive = token[:n] >= 0
+        ids = token[:n][alive].astype("<u4").tobytes()
+        bounds = 4 * np.concatenate([[0], np.cumsum(alive)])
+        starts, stops = bounds[ends - lengths].tolist(), bounds[ends].tolist()
+        return [r.to_bytes(4, "little") if r >= 0 else ids[a:b] for r, a, b in zip(whole, starts, stops)]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+@lru_cache(maxsize=2)
+def replay_of(ranks_path: str) -> MergeReplay:
+    """Read once for all tasks of a Python worker."""
+    return MergeReplay(load_ranks(ranks_path))
+
+
 class TextCodec:
     """Encodes texts to little-endian 32-bit ids, remembering the pieces met before."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_pieces: int = CACHE_PIECES, corpus_chars: int = CORPUS_CHARS):
+    def __init__(self, replay: MergeReplay, pattern: str, cache_pieces: int = CACHE_PIECES, corpus_chars: int = CORPUS_CHARS):
         import regex
 
-        self.replay, self.split = MergeReplay(ranks), regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
+        self.replay, self.split = replay, regex.compile(pattern).findall
+        self.known: dict[str, bytes] = {}  # ids of pieces
+        self.words: dict[str, bytes] = {}  # and of the words they are made of
         self.cache_pieces, self.corpus_chars = cache_pieces, corpus_chars
 
     def _learn(self, pieces: list[str]) -> None:
-        split = [self.split(piece) for piece in pieces]
-        words = list({word for own in split for word in own})
-        ids = {word: np.array(own, "<u4").tobytes() for word, own in zip(words, self.replay.encode_words([word.encode() for word in words]))}
+        split, words = [self.split(piece) for piece in pieces], self.words
+        new = list({word for own in split for word in own} - words.keys())
+        words.update(zip(new, self.replay.encode_words([word.encode() for word in new])))
         for piece, own in zip(pieces, split):
-            self.known[piece] = b"".join([ids[word] for word in own])
+            self.known[piece] = b"".join(map(words.__getitem__, own))
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         start = 0
@@ -145,7 +180,8 @@ class TextCodec:
             split = [([text] if _ODD_SPACE.search(text) else _PIECES.findall(text)) if text else [] for text in texts[start:stop]]
             if len(self.known) > self.cache_pieces:
                 self.known.clear()
-                self.replay.merged.clear()
+            if len(self.words) > self.cache_pieces:
+                self.words.clear()
             self._learn(list({piece for own in split for piece in own} - self.known.keys()))
             for own in split:
                 yield b"".join(map(self.known.__getitem__, own))
@@ -170,7 +206,7 @@ def encode_documents(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = TextCodec(load_ranks(ranks_path), pattern)
+        codec = TextCodec(replay_of(ranks_path), pattern)
         for batch in batches:
             n_tokens, coded, own, decoded = [], [], [], []
             for found in codec.encode(batch.column(1).to_pylist()):

@@ -4,7 +4,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from objsql.llm.byte_bpe import MergeReplay, TextCodec, encode_documents, load_ranks
+from objsql.llm.byte_bpe import MergeReplay, TextCodec, encode_documents, load_ranks, replay_of
 from objsql.llm.token_counts import PieceCounter, token_counts
 
 TEXTS = [
@@ -48,13 +48,13 @@ def test_token_counts_rows(spark):
 
 def test_replay_matches_the_library(spark):
     texts = TEXTS + sample(spark)
-    codec = TextCodec(load_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN, cache_pieces=40, corpus_chars=3000)
+    codec = TextCodec(replay_of(P.path("byte_bpe_50k.tiktoken")), P.PATTERN, cache_pieces=40, corpus_chars=3000)
     import numpy as np
 
     assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)] == library_ids(texts)
 
 
-@pytest.mark.parametrize("word", [b"aaaa", b"aaaaaaa", b"abababab", b"", b"aabaab"])
+@pytest.mark.parametrize("word", [b"aaaa", b"aaaaaaa", b"abababab", b"", b"aabaab", b"aaabaaaab", b"baaaaa", b"xyz"])
 def test_overlapping_merges(word):
     ranks = {bytes([b]): b for b in range(256)} | {b"aa": 256, b"ab": 257, b"aaa": 258, b"abab": 259}
     ids = list(word)
@@ -65,7 +65,7 @@ def test_overlapping_merges(word):
         ids[best[1] : best[1] + 2] = [best[0]]
     if word in ranks:
         ids = [ranks[word]]
-    assert MergeReplay(ranks).encode_words([word]) == [ids]
+    assert MergeReplay(ranks).encode_words([word, word]) == [b"".join(i.to_bytes(4, "little") for i in ids)] * 2
 
 
 def codes(ranks):
