@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from objsql.llm.byte_bpe import encode_documents
 from objsql.llm.common import fresh_path, read
+from objsql.llm.decontamination import decontamination
 from objsql.llm.line_dedup import dedup_lines
 from objsql.llm.near_dedup import near_duplicates
 from objsql.llm.quality import quality_filter
@@ -25,6 +26,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -62,5 +67,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_dropped")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_near_dedup, op5_token_counts, op6_quality_rules, op7_warc, op8_byte_bpe, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_near_dedup, op4_decontamination, op5_token_counts, op6_quality_rules, op7_warc, op8_byte_bpe, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {"op7_warc": OP7_SQL}
