@@ -10,6 +10,7 @@ whole files are read as binary and cut by Content-Length.
 
 from __future__ import annotations
 
+import gzip
 import re
 from collections.abc import Iterator
 
@@ -81,8 +82,8 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
-    """Writes ``classified`` pages as WARC files."""
-    records(pages).write.option("lineSep", _EOL * 2).option("maxRecordsPerFile", rows_per_file).text(path)
+    """Writes ``classified`` pages as gzipped WARC files."""
+    records(pages).write.option("lineSep", _EOL * 2).option("maxRecordsPerFile", rows_per_file).option("compression", "gzip").text(path)
 
 
 _FIELDS = {b"warc-type": "kind", b"warc-record-id": "record", b"warc-concurrent-to": "concurrent_to", b"warc-refers-to": "refers_to", b"warc-payload-digest": "digest", b"warc-target-uri": "url"}
@@ -131,7 +132,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
         for batch in batches:
             for archive in batch.column(0):
                 rows = []
-                for row in parse(archive.as_py()):
+                whole = archive.as_py()
+                for row in parse(gzip.decompress(whole) if whole.startswith(b"\x1f\x8b") else whole):
                     if not payloads:
                         row.pop("payload")
                     rows.append(row)
