@@ -10,12 +10,21 @@ from objsql.llm.common import fresh_path, read
 from objsql.llm.decontamination import decontamination
 from objsql.llm.line_dedup import dedup_lines
 from objsql.llm.near_dedup import near_duplicates
+from objsql.llm.pii import replace_pii
 from objsql.llm.quality import quality_filter
 from objsql.llm.token_counts import token_counts
 from objsql.llm.toxicity import fit_toxicity, toxicity
 from objsql.llm.warc import archive_roundtrip
 
 
+#: A deployment passes its own key; the driver's runs need one that doesn't change.
+PII_KEY = "objsql-demo-key"
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(read(spark, sf_dir, "documents"), PII_KEY, count_col="n_entities").select("doc_id", "n_entities", "text")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     chain = fit_toxicity(docs, read(spark, sf_dir, "labels"))
@@ -67,5 +76,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_dropped")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_near_dedup, op4_decontamination, op5_token_counts, op6_quality_rules, op7_warc, op8_byte_bpe, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_toxicity, op3_near_dedup, op4_decontamination, op5_token_counts, op6_quality_rules, op7_warc, op8_byte_bpe, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {"op7_warc": OP7_SQL}
