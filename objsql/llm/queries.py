@@ -10,6 +10,7 @@ from objsql.llm.common import fresh_path, read
 from objsql.llm.decontamination import decontamination
 from objsql.llm.line_dedup import dedup_lines
 from objsql.llm.near_dedup import near_duplicates
+from objsql.llm.ngram_lm import lm_scores
 from objsql.llm.pii import replace_pii
 from objsql.llm.quality import quality_filter
 from objsql.llm.token_counts import token_counts
@@ -72,9 +73,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_dropped")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_toxicity, op3_near_dedup, op4_decontamination, op5_token_counts, op6_quality_rules, op7_warc, op8_byte_bpe, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_toxicity, op3_near_dedup, op4_decontamination, op5_token_counts, op6_quality_rules, op7_warc, op8_byte_bpe, op9_lm_scoring, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {"op7_warc": OP7_SQL}
