@@ -1 +1,74 @@
+"""Column builders for scalar functions whose rules differ from Spark's own."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+
+
+def substring(s: Column, start: Column | int, length: Column | int | None = None) -> Column:
+    """1-based; a start below 1 counts as 1, a negative length as 0; past the end gives ''; a null argument null."""
+    start = F.greatest(F.lit(start) if isinstance(start, int) else start.cast("int"), F.lit(1))
+    given = F.lit(start) if isinstance(start, int) else start
+    if length is None:
+        return F.when(given.isNotNull(), F.substr(s, start))
+    length = F.lit(length) if isinstance(length, int) else length.cast("int")
+    return F.when(length.isNotNull() & given.isNotNull(), F.substr(s, start, F.greatest(length, F.lit(0))))
+
+
+_SIDES = {"leading": r"(?U)^{0}+", "trailing": r"(?U){0}+$", "both": r"(?U)^{0}+|{0}+$"}
+
+
+def trim(s: Column, side: str = "both", chars: str | None = None) -> Column:
+    """Strips Unicode white space, or the first character of ``chars``, from the sides named."""
+    if chars == "":
+        return s
+    what = r"\s" if chars is None else f"\\x{{{ord(chars[0]):x}}}"
+    return F.regexp_replace(s, _SIDES[side].format(what), "")
+
+
+def char_length(s: Column) -> Column:
+    return F.char_length(s).cast("long")
+
+
+#: Target names of CAST in the strict dialect; widths of CHAR and the like are ignored.
+CAST_TYPES = {
+    "BOOL": "boolean", "BOOLEAN": "boolean", "INT": "bigint", "INTEGER": "bigint", "BIGINT": "bigint", "INT64": "bigint", "SMALLINT": "smallint", "INT2": "smallint", "INT4": "int",
+    "FLOAT": "float", "REAL": "float", "DOUBLE": "double", "DOUBLE PRECISION": "double", "FLOAT64": "double", "VARCHAR": "string", "TEXT": "string", "STRING": "string", "CHAR": "string",
+    "TIMESTAMP": "timestamp_ntz", "DATE": "date", "DECIMAL": "double", "NUMERIC": "double", "DEC": "double",
+}
+
+
+def cast(value: Column, target: str) -> Column:
+    """Null where the value can't be cast; another target is an error."""
+    try:
+        return value.try_cast(CAST_TYPES[target.upper()])
+    except KeyError:
+        raise ValueError(f"unsupported CAST target: {target}") from None
+
+
+def to_timestamp(s: Column) -> Column:
+    return s.try_cast("timestamp_ntz")
+
+
+def utcnow() -> Column:
+    """The time of the query in UTC, to the second, as text."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def ring_position(key: Column) -> Column:
+    """A place on the hash ring, 0 to 2**60 - 1: the first 60 bits of SHA-256."""
+    return F.conv(F.substring(F.sha2(key.cast("binary"), 256), 1, 15), 16, 10).cast("long")
+
+
+#: SQL functions that user queries may call, as bodies of SQL UDFs.
+_SQL = {
+    "utcnow": ("", "STRING", "date_format(to_utc_timestamp(current_timestamp(), current_timezone()), 'yyyy-MM-dd''T''HH:mm:ss''Z''')"),
+    "to_string": ("ts TIMESTAMP, fmt STRING", "STRING", "date_format(ts, fmt)"),
+}
+
+
+def register(spark: SparkSession) -> None:
+    """Makes UTCNOW and TO_STRING callable from SQL text."""
+    for name, (args, kind, body) in _SQL.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {kind} RETURN {body}")

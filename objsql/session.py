@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: Settings that are safe to change on a running session.
@@ -23,3 +26,16 @@ def get_session(app: str = "objsql", **conf: str) -> SparkSession:
     for key, value in {**RUNTIME, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+_own_folder: list[str] = []
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors see (spark.checkpoint.dir), or in a temporary one where that is unset, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not _own_folder:
+            _own_folder.append(tempfile.mkdtemp(prefix="objsql-"))
+        folder = _own_folder[0]
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1 +1,76 @@
+"""Journal processing, in batches and as streams."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Event kinds of a journal.
+PUT, DELETE, MARKER, UPDATE = "put", "delete", "delete_marker", "metadata_update"
+
+
+def tail(journal: DataFrame, after: int, sequence: str = "sequence") -> DataFrame:
+    """Entries after a sequence number; works on batches and streams."""
+    return journal.where(F.col(sequence) > after)
+
+
+def compacted(journal: DataFrame, safe: int, sequence: str = "sequence") -> DataFrame:
+    """What is left when entries up to ``safe`` are dropped."""
+    return tail(journal, safe, sequence)
+
+
+def apply_once(entries: DataFrame, operation: str = "operation_id", time: str | None = None, horizon: str = "1 hour") -> DataFrame:
+    """One entry per operation. On a stream ``time`` bounds what is remembered to ``horizon``."""
+    if entries.isStreaming and time:
+        return entries.withWatermark(time, horizon).dropDuplicatesWithinWatermark([operation])
+    return entries.dropDuplicates([operation])
+
+
+def replay(journal: DataFrame, key: tuple[str, ...] = ("bucket", "key"), sequence: str = "sequence", event: str = "event_type", record: str = "record", updates: str = "updated_fields") -> DataFrame:
+    """The index after all entries: key, record, fields, sequence, for keys whose last put or marker no delete follows.
+
+    Of each field the last update after that put counts. Both are aggregations
+    that fold before the shuffle: last base event per key, last update per key
+    and field; updates with no record to apply to are dropped.
+    """
+    base = journal.where(F.col(event).isin(PUT, DELETE, MARKER)).groupBy(*key).agg(F.max_by(F.struct(F.col(event).alias("event"), F.col(record).alias("record"), F.col(sequence).alias("sequence")), sequence).alias("base"))
+    live = base.where(F.col("base.event") != DELETE).select(*key, "base.record", "base.event", F.col("base.sequence").alias("sequence"))
+    changes = journal.where(F.col(event) == UPDATE).select(*key, F.col(sequence).alias("_at"), F.explode(updates).alias("field", "value"))
+    fields = (
+        changes.join(live.select(*key, "sequence"), list(key)).where(F.col("_at") > F.col("sequence")).groupBy(*key, "field").agg(F.max_by("value", "_at").alias("value"))
+        .groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fields"))
+    )
+    return live.join(fields, list(key), "left").select(*key, "record", "event", "fields", "sequence")
+
+
+def latest_stream(stream: DataFrame, key: str, sequence: str, path: str, checkpoint: str) -> None:
+    """Keeps the last row of each key of a stream under ``path``/current, a folder per batch; runs what is available and stops.
+
+    Every batch is folded, merged with the state before it and written to a new
+    folder, then the pointer table names it; a batch that is run again writes
+    the same rows to the same place.
+    """
+    spark = stream.sparkSession
+
+    def merge(batch: DataFrame, number: int) -> None:
+        columns = batch.columns
+        fold = lambda df: df.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*columns), sequence).alias("row")).select("row.*")
+        new = fold(batch)
+        if number > 0:
+            new = fold(new.unionByName(spark.read.parquet(f"{path}/state-{number - 1}")))
+        new.write.mode("overwrite").parquet(f"{path}/state-{number}")
+        spark.createDataFrame([(number,)], "number long").coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
+
+    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def current(spark, path: str) -> DataFrame:
+    """The state that ``latest_stream`` has reached."""
+    number = spark.read.parquet(f"{path}/current").first().number
+    return spark.read.parquet(f"{path}/state-{number}")
+
+
+def windowed_latency(events: DataFrame, time: str = "ts", value: str = "value", by: str = "event_type", length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Count and 50th and 99th percentiles of a value by window, for batches and streams."""
+    return events.withWatermark(time, late).groupBy(F.window(time, length), by).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(value, [0.5, 0.99], 10_000).alias("p50_p99"))
