@@ -52,10 +52,17 @@ def check(spark: SparkSession, sql: str, dialect: str = "extended") -> None:
         raise ValueError(f"unknown dialect: {dialect}")
     if not sql.strip():
         raise DialectError("the query is empty")
+    # The parser takes its settings from the thread's active session.
+    sessions = spark._jvm.org.apache.spark.sql.classic.SparkSession
+    before = sessions.getActiveSession()
+    sessions.setActiveSession(spark._jsparkSession)
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:
         raise DialectError(f"syntax: {str(getattr(e, 'java_exception', e)).splitlines()[0]}") from None
+    finally:
+        if before.isDefined():
+            sessions.setActiveSession(before.get())
     nodes = [n.getClass().getSimpleName() for n in _nodes(plan)]
     wrong = [n for n in nodes if n not in _READS]
     if wrong:

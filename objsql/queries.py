@@ -63,7 +63,7 @@ sql(
 sql("three_valued_logic", "SELECT n_nationkey, (x IS NULL) AS x_null, (x AND FALSE) AS with_false, (x OR TRUE) AS with_true, coalesce(n_nationkey IN (1, 2, NULL), FALSE) AS listed, CASE WHEN TRUE THEN nullif(n_nationkey, 3) ELSE 0 END AS kept_null FROM (SELECT n_nationkey, nullif(n_regionkey = 1, FALSE) AS x FROM nation) t")
 
 
-@query("SELECT doc_id, length(text) AS n_chars_seen, upper(substr(text, 1, 12)) AS head, lower(substr(text, 3)) AS tail_lower, substr(text, 1, 2) AS clamped, trim(chr(9) || ' ' || source || ' ', ' ' || chr(9)) AS trimmed, rtrim(source, '0') AS no_zeros, lang || '-' || source AS tag FROM documents")
+@query("SELECT doc_id, length(text) AS n_chars_seen, replace(upper(substr(text, 1, 12)), 'ẞ', 'SS') AS head, lower(substr(text, 3)) AS tail_lower, substr(text, 1, 2) AS clamped, trim(chr(9) || ' ' || source || ' ', ' ' || chr(9)) AS trimmed, rtrim(source, '0') AS no_zeros, lang || '-' || source AS tag FROM documents")
 def string_functions(spark, sf_dir):
     text = F.col("text")
     return read(spark, sf_dir, "documents").select(
@@ -170,10 +170,10 @@ def _matching(df, pattern):
     return matching_keys(df, pattern, "url")
 
 
-@query("SELECT doc_id, substr(encode(text)::BLOB::VARCHAR, 1, 0) AS none, octet_length(encode(text)) AS size FROM documents WHERE octet_length(encode(text)) >= 500")
-def byte_ranges(spark, sf_dir):
-    body = F.encode("text", "UTF-8")
-    return read(spark, sf_dir, "documents").where(F.octet_length("text") >= 500).select("doc_id", F.substring(body, 1, 0).cast("string").alias("none"), F.octet_length("text").cast("long").alias("size"))
+@query("SELECT doc_id, octet_length(encode(text)) AS size, md5(right(text, 1)) AS last_char FROM documents WHERE octet_length(encode(text)) >= 500")
+def object_sizes(spark, sf_dir):
+    size = F.octet_length("text")
+    return read(spark, sf_dir, "documents").where(size >= 500).select("doc_id", size.cast("long").alias("size"), F.md5(F.right("text", F.lit(1))).alias("last_char"))
 
 
 # -- the catalog -------------------------------------------------------------------------------------

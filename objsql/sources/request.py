@@ -19,7 +19,7 @@ class CsvInput:
     header: str = "NONE"  # USE, IGNORE or NONE
     delimiter: str = ","
     quote: str = '"'  # '' turns quoting off
-    escape: str = '"'
+    escape: str | None = None  # None: a quote is doubled
     record_delimiter: str = "\n"
     comment: str = ""
     quoted_newlines: bool = False
