@@ -138,8 +138,9 @@ class ClassifierChain:
         for first, _, owner, words in word_sets(pa.array(texts, pa.large_string())):
             rows.append(owner + first)
             hashes.append(words)
-        row, words = np.concatenate(rows), np.concatenate(hashes)
+        row, words = np.concatenate(rows).astype(np.int32), np.concatenate(hashes)
         values, word = np.unique(words, return_inverse=True)
+        word = word.astype(np.int32)
         # Rows with equal words go to the same fold, or a copy would be scored by a model that has seen it.
         sums = np.zeros(len(texts), np.uint64)
         np.add.at(sums, row, words)
