@@ -1,8 +1,9 @@
 """Links within buckets and the connected groups that links make.
 
 Both work without listing the pairs of a bucket or holding a bucket in one
-task: a bucket's members are linked to a representative that a partial
-aggregation finds, and groups are contracted to stars by joins on node ids.
+task: the members of a large bucket are linked to a representative that a
+partial aggregation finds, and groups are contracted to stars by joins on node
+ids.
 """
 
 from __future__ import annotations
@@ -15,44 +16,60 @@ from pyspark.sql import functions as F
 from objsql.llm.common import settled, written
 
 
+#: Buckets of up to so many members have all their pairs compared, at first and once their members have been connected.
+SMALL, LEFT = 8, 16
+ROUNDS = 3
+
+
 def verified_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links (a, b), a > b, between members (key, id) of the same bucket that ``verify`` confirms.
 
-    ``verify`` gets candidate pairs (a, b) and returns those that hold. In a
-    round each member is compared with the representatives of its bucket, the
-    members whose hashed ids are least; a member that none confirms stays for
-    the next round, among its like. The first round has one representative to
-    a bucket, and each further round up to four times as many, so that a bucket
-    of texts that are not alike is used up in a few rounds. Pairs are compared
-    once however many buckets they share.
+    ``verify`` gets candidate pairs (a, b) and returns those that hold; a pair
+    is compared once however many buckets share it. In a bucket of up to SMALL
+    members all pairs are. In a larger one each member is compared with the
+    member that shares the most buckets, which in a group of variants of a text
+    is the text nearest to all. Who is connected to it by then, through
+    whatever links, is done there. Of the others one for each connected group
+    goes on: with all others where LEFT or fewer are left, else with the next
+    representative, and in the last round dealt anew by the other keys they
+    have, of which texts that are alike share many. So the rows grow with the
+    members and not with pairs, and what can be missed is a link in a bucket
+    where more than LEFT groups stay apart, of two texts that no representative
+    of any bucket of theirs is like.
     """
-    # Only buckets with company matter; the ids of the rest are dropped before anything is joined.
-    order = F.xxhash64("id", "key")
-    left = members.distinct()
-    links = checked = None
-    wanted = 1
-    while True:
-        heads = left.groupBy("key").agg(F.min_by("id", order).alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        if wanted > 1:
-            # The first `wanted` of a bucket: a member is a representative of one slot of the bucket.
-            slots = left.withColumn("slot", F.pmod(F.xxhash64("id", F.lit(wanted)), F.lit(wanted)))
-            heads = slots.join(heads.select("key"), "key").groupBy("key", "slot").agg(F.min_by("id", order).alias("rep")).select("key", "rep")
-        near = settled(left.join(heads.select("key", "rep"), "key").where("id <> rep"))
-        pairs = near.select(F.greatest("id", "rep").alias("a"), F.least("id", "rep").alias("b")).distinct()
+    members = settled(members.distinct())
+    order = F.struct("degree", F.xxhash64("id"))
+    left, links, checked = members, None, None
+    for number in range(ROUNDS):
+        small = LEFT if number else SMALL
+        sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        left = settled(left.join(sizes, "key"))
+        ranked = left.join(left.groupBy("id").agg(F.sum("n").alias("degree")), "id")
+        heads = ranked.groupBy("key").agg(F.max_by("id", order).alias("rep"))
+        near = settled(ranked.join(heads, "key"))
+        little = near.where(F.col("n") <= small)
+        large = near.where(F.col("n") > small)
+        every = little.select("key", "id").join(little.select("key", F.col("id").alias("other")), "key").where("id > other").select("id", "other")
+        pairs = large.select("id", F.col("rep").alias("other")).union(every).where("id <> other").select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = settled(pairs)
         found = settled(verify(pairs))
         links = found if links is None else links.union(found)
         checked = pairs if checked is None else checked.union(pairs)
-        # Who was confirmed by a representative of the bucket is done there, and so is every representative.
-        hit = near.join(links, (F.greatest("id", "rep") == links["a"]) & (F.least("id", "rep") == links["b"]), "left")
-        left = settled(
-            hit.groupBy("key", "id").agg(F.max(F.col("a").isNotNull()).alias("done")).where("not done").select("key", "id").join(heads.select("key", F.col("rep").alias("id")), ["key", "id"], "left_anti")
-        )
-        wanted *= 4
-        if left.isEmpty():
-            return links.distinct()
+        if number == ROUNDS - 1 or large.isEmpty():
+            break
+        groups = settled(connected_groups(links))
+        of_id, of_rep = groups.select("id", F.col("root").alias("own")), groups.select(F.col("id").alias("rep"), F.col("root").alias("its"))
+        apart = large.join(of_id, "id", "left").join(of_rep, "rep", "left").withColumn("own", F.coalesce("own", "id")).where(F.col("own") != F.coalesce("its", "rep"))
+        rest = settled(apart.groupBy("key", "own").agg(F.max_by("id", order).alias("id")).select("key", "id"))
+        left = rest
+        if number == ROUNDS - 2:
+            counts = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+            many = rest.join(counts.where(F.col("n") > LEFT), "key").select("key", "id")
+            finer = many.join(members.select("id", F.col("key").alias("with")), "id").where("key < with").select(F.xxhash64("key", "with").alias("key"), "id")
+            left = rest.join(counts.where(F.col("n") <= LEFT), "key").select("key", "id").union(finer)
+    return links.distinct()
 
 
 def connected_groups(links: DataFrame) -> DataFrame:
