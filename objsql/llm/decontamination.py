@@ -58,10 +58,15 @@ def windows(words: Column, size: int) -> Column:
     return F.element_at(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), each), 1)
 
 
-def _with_tokens(df: DataFrame, size: int) -> DataFrame:
-    """Adds raw (tokens) and hashes (windows), each made once."""
-    raw = df.withColumn("raw", tokens(F.col("text")))
-    return raw.withColumn("hashes", windows(canonical(F.col("raw")), size))
+def _word_windows(df: DataFrame, size: int, *keep: str) -> DataFrame:
+    """``keep``, hash and words (the tokens) of each window of ``text``; a row of the explode holds one window, not its text."""
+
+    def each(words: Column) -> Column:
+        slices = lambda a: F.transform(F.when(F.size(a) >= size, F.sequence(F.lit(1), F.size(a) - (size - 1))).otherwise(F.array().cast("array<int>")), lambda k: F.slice(a, k, size))
+        return F.arrays_zip(windows(canonical(words), size).alias("hash"), slices(words).alias("words"))
+
+    both = F.element_at(F.transform(F.array(tokens(F.col("text"))), each), 1)
+    return df.select(*keep, F.explode(both).alias("w")).select(*keep, "w.hash", "w.words")
 
 
 def contaminated_pairs(
@@ -70,8 +75,7 @@ def contaminated_pairs(
     """(id, item, coverage, exact, consistent) for documents that share ``coverage`` or more of an item's windows."""
     plain = docs.where(docs[id_col].isNotNull() & docs[text_col].isNotNull()).select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     items = benchmark.where(benchmark[item_col].isNotNull() & benchmark[item_text_col].isNotNull()).select(benchmark[item_col].alias("item"), benchmark[item_text_col].cast("string").alias("text")).distinct()
-    spread = _with_tokens(items, size).select("item", "raw", F.posexplode("hashes").alias("at", "hash"))
-    spread = spread.withColumn("words", F.slice("raw", F.col("at") + 1, size)).drop("raw")
+    spread = _word_windows(items, size, "item")
     # A window of placeholders mostly says nothing.
     spread = settled(spread.where(F.size(F.filter("words", lambda w: w < F.lit("\x05"))) <= MOST_SLOTS))
     sizes = spread.groupBy("item").agg(F.count_distinct("hash").alias("n_windows"))
@@ -83,8 +87,7 @@ def contaminated_pairs(
 
     # Slot by slot, for suspects only: their texts are read again, not carried along.
     who = settled(suspects.select("id").distinct())
-    there = _with_tokens(plain.join(small_side(who), "id"), size).select("id", "raw", F.posexplode("hashes").alias("place", "hash"))
-    there = there.join(small_side(keys), "hash").select("id", "item", "hash", F.slice("raw", F.col("place") + 1, size).alias("found"))
+    there = _word_windows(plain.join(small_side(who), "id"), size, "id").withColumnRenamed("words", "found").join(small_side(keys), "hash")
     met = there.join(small_side(suspects.select("id", "item", "n_windows")), ["id", "item"]).join(small_side(spread), ["item", "hash"])
     exact = met.where("words = found").groupBy("id", "item").agg(F.count_distinct("hash").alias("n_exact"))
     slots = met.select("id", "item", F.explode(F.filter(F.arrays_zip("words", "found"), lambda s: s["words"] < F.lit("\x05"))).alias("slot")).distinct()
