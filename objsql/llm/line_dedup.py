@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -103,16 +103,15 @@ def _bucket_pairs(rows: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Reco
             continue
         starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         sizes = np.diff(np.append(starts, len(bucket)))
-        pairs: list[tuple[np.ndarray, np.ndarray]] = []
-        two = starts[sizes == 2]
-        near = two[np.bitwise_count(sim[two] ^ sim[two + 1]) <= bits]
-        pairs.append((key[near], key[near + 1]))
-        more = [(s, n) for s, n in zip(starts.tolist(), sizes.tolist()) if n > 2]
-        if bucket[0] == last and sizes[0] <= 2:
-            more.insert(0, (0, int(sizes[0])))
-        ends_with = (starts[-1], sizes[-1])
-        if (int(ends_with[0]), int(ends_with[1])) not in more[-1:]:
-            more.append((int(ends_with[0]), int(ends_with[1])))
+        # Most rows are near the first of their bucket; only what is left is gone through bucket by bucket.
+        first = np.repeat(starts, sizes)
+        close = np.bitwise_count(sim ^ sim[first]) <= bits
+        pairs: list[tuple[np.ndarray, np.ndarray]] = [(key[first[close]], key[close])]
+        far = np.add.reduceat(~close, starts)
+        again = far > np.where(sizes == 2, 1, 0)
+        again[0] |= bucket[0] == last
+        again[-1] = True
+        more = list(zip(starts[again].tolist(), sizes[again].tolist()))
         for start, n in more:
             keys, sims = key[start : start + n], sim[start : start + n]
             own_keys, own_sims = (held_keys, held_sims) if start == 0 and bucket[0] == last else (held_keys[:0], held_sims[:0])
@@ -164,6 +163,12 @@ def _line_texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame
 _TO_SPACE = bytes(0x20 if PUNCT[b] else b for b in range(256))
 
 
+def _within(most: str) -> Column:
+    """Whether the distance of x and y is at most that. Its cost grows with the bound, so small bounds are tried first."""
+    steps = [F.expr(f"levenshtein(x, y, least({most}, {bound})) >= 0") for bound in (12, 48)]
+    return F.when(steps[0], True).when(F.expr(f"{most} <= 12"), False).when(steps[1], True).when(F.expr(f"{most} <= 48"), False).otherwise(F.expr(f"levenshtein(x, y, {most}) >= 0"))
+
+
 def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, similarity: float, bits: int) -> DataFrame:
     """(id, number, key) of the line occurrences that go."""
     texts = docs.where(docs[id_col].isNotNull() & (docs[text_col] != "")).select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
@@ -179,7 +184,7 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int,
     words = written(_line_texts(texts, wanted, min_words), "words")
     x, y = words.select(F.col("key").alias("a"), F.col("words").alias("x")), words.select(F.col("key").alias("b"), F.col("words").alias("y"))
     longest = F.greatest(F.char_length("x"), F.char_length("y"))
-    verified = pairs.join(x, "a").join(y, "b").withColumn("most", F.floor((1 - similarity) * longest + 1e-9).cast("int")).where(F.expr("levenshtein(x, y, most) >= 0")).select("a", "b")
+    verified = pairs.join(x, "a").join(y, "b").withColumn("most", F.floor((1 - similarity) * longest + 1e-9).cast("int")).where(_within("most")).select("a", "b")
     groups = connected_groups(verified)
 
     # The first occurrence of each group; groups of one line matter where it occurs again.
