@@ -45,14 +45,15 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLED}|{_NAMED})(?![\p{{L}}\p{{N}}])",
 }
 ANY = "|".join(PATTERNS.values())
+#: Holds wherever ANY does: what each pattern can't match without.
+HINT = rf"@|\d{{3}}|\+\d|\d\.\d|[0-9a-fA-F]{{32}}|(?<![\p{{L}}\p{{N}}])(?:{'|'.join((*TITLES_M, *TITLES_F, *TITLES, *FIRST_M, *FIRST_F))})[. ]"
 _LATIN = r"^[\p{IsLatin}\p{M}'’-]+$"
 
 
 def spans(text: Column) -> Column:
     """The entities of a text, in order; empty for null."""
     # A cheap look first: most texts have none of what an entity needs.
-    hint = rf"@|\d{{3}}|\d\.\d|[0-9a-fA-F]{{32}}|\b(?:{'|'.join((*TITLES_M, *TITLES_F, *TITLES, *FIRST_M, *FIRST_F))})\b"
-    return F.when(text.rlike(hint), F.regexp_extract_all(text, F.lit(f"({ANY})"), 1)).otherwise(F.array().cast("array<string>"))
+    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(f"({ANY})"), 1)).otherwise(F.array().cast("array<string>"))
 
 
 def kind_of(span: Column) -> Column:

@@ -2,7 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from objsql.llm.pii import ANY, dictionary, luhn_valid, replace_pii
+from objsql.llm.pii import ANY, HINT, dictionary, luhn_valid, replace_pii, spans
 
 ROWS = [
     (1, None), (2, ""), (3, "Write to ann.lee@mail.example.com or ANN.LEE@mail.example.com, from 10.0.0.1!"), (4, "ann.lee@mail.example.com again; 4111 1111 1111 1111 and 4111111111111112."),
@@ -74,3 +74,15 @@ def test_real_documents(spark):
         assert len(spans) == r.n and (r.new == r.text) == (not spans)
         assert [p for p in pattern.split(r.text)] == [p for p in pattern.split(r.new)]
         assert not any(s in r.new for s in spans)
+
+
+def test_the_hint_holds_wherever_a_pattern_does(spark):
+    alone = [
+        "+49 30 12 34 56", "+44 20 79 46 09", "+33 (6) 12 34 56 78", "+1.23.45", "(212) 555-0100", "212-555-0100", "a@b.cd", "1.2.3.4", "1234 5678 9012 3", "a" * 32, "F" * 32,
+        "Mr. Smith", "_Mr Smith", "г-н Иванов", "_Ольга Петрова", "José Díaz", "Señor Díaz", "\u0301Don Juan",
+    ]
+    rows = spark.createDataFrame([(f"call {a}",) for a in alone], "text string").select("text", F.col("text").rlike(ANY).alias("any"), F.col("text").rlike(HINT).alias("hint"), F.size(spans(F.col("text"))).alias("n")).collect()
+    assert all(r.any and r.hint and r.n == 1 for r in rows), [r for r in rows if r.n != 1]
+    df = spark.createDataFrame(list(enumerate(alone[:4])), "doc_id long, text string")
+    out = replace_pii(df, "k", count_col="n").collect()
+    assert all(r.n == 1 and r.text not in alone for r in out)
