@@ -3,9 +3,10 @@
 Numbers, names and units become typed placeholders, so a question whose
 numbers or names were changed has the template of the original. Windows of a
 benchmark item's template are joined by hash with those of documents. A pair
-that shares enough windows is then checked slot by slot: what stands in a
-placeholder of the item must always stand as the same thing in the document
-and the other way round, or the likeness is one of form only.
+that shares enough windows is then checked slot by slot, for each occurrence of
+the item in the document: a name or unit of the item must always stand as the
+same thing there and the other way round, or the likeness is one of form only.
+A number is only held to its place, as two numbers can be equal by chance.
 """
 
 from __future__ import annotations
@@ -59,14 +60,14 @@ def windows(words: Column, size: int) -> Column:
 
 
 def _word_windows(df: DataFrame, size: int, *keep: str) -> DataFrame:
-    """``keep``, hash and words (the tokens) of each window of ``text``; a row of the explode holds one window, not its text."""
+    """``keep``, place, hash and words (the tokens) of each window of ``text``; a row of the explode holds one window, not its text."""
 
     def each(words: Column) -> Column:
         slices = lambda a: F.transform(F.when(F.size(a) >= size, F.sequence(F.lit(1), F.size(a) - (size - 1))).otherwise(F.array().cast("array<int>")), lambda k: F.slice(a, k, size))
         return F.arrays_zip(windows(canonical(words), size).alias("hash"), slices(words).alias("words"))
 
     both = F.element_at(F.transform(F.array(tokens(F.col("text"))), each), 1)
-    return df.select(*keep, F.explode(both).alias("w")).select(*keep, "w.hash", "w.words")
+    return df.select(*keep, F.posexplode(both).alias("place", "w")).select(*keep, "place", "w.hash", "w.words")
 
 
 def contaminated_pairs(
@@ -78,7 +79,7 @@ def contaminated_pairs(
     spread = _word_windows(items, size, "item")
     # A window of placeholders mostly says nothing.
     spread = settled(spread.where(F.size(F.filter("words", lambda w: w < F.lit("\x05"))) <= MOST_SLOTS))
-    sizes = spread.groupBy("item").agg(F.count_distinct("hash").alias("n_windows"))
+    sizes = spread.groupBy("item").agg(F.count_distinct("hash").alias("n_windows"), (F.max("place") + size).alias("length"))
     keys = settled(spread.select("item", "hash").distinct())
 
     shared = plain.select("id", F.explode(windows(canonical(tokens(F.col("text"))), size)).alias("hash")).join(small_side(keys), "hash")
@@ -87,15 +88,27 @@ def contaminated_pairs(
 
     # Slot by slot, for suspects only: their texts are read again, not carried along.
     who = settled(suspects.select("id").distinct())
-    there = _word_windows(plain.join(small_side(who), "id"), size, "id").withColumnRenamed("words", "found").join(small_side(keys), "hash")
-    met = there.join(small_side(suspects.select("id", "item", "n_windows")), ["id", "item"]).join(small_side(spread), ["item", "hash"])
+    there = _word_windows(plain.join(small_side(who), "id"), size, "id").withColumnRenamed("words", "found").withColumnRenamed("place", "at").join(small_side(keys), "hash")
+    met = settled(there.join(small_side(suspects.select("id", "item", "n_windows", "length")), ["id", "item"]).join(small_side(spread), ["item", "hash"]))
     exact = met.where("words = found").groupBy("id", "item").agg(F.count_distinct("hash").alias("n_exact"))
-    slots = met.select("id", "item", F.explode(F.filter(F.arrays_zip("words", "found"), lambda s: s["words"] < F.lit("\x05"))).alias("slot")).distinct()
-    by_value = slots.groupBy("id", "item").agg(
-        F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("slot.words").alias("n_asked"), F.count_distinct("slot.found").alias("n_given")
+    # An occurrence has one shift, or some that differ by less than the item's length where words were put in or left out:
+    # these meet in one of two rows of stretches. The whole document counts as one occurrence, too.
+    shift = F.col("at") - F.col("place")
+    kinds = [F.lit(0).cast("long"), shift.cast("long"), F.floor(shift / F.col("length")), F.floor(shift / F.col("length") + 0.5)]
+    one = ["id", "item", "kind", "nth"]
+    within = met.withColumn("o", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), n.alias("nth")) for k, n in enumerate(kinds)]))).select("*", "o.kind", "o.nth")
+    enough = settled(within.groupBy(*one).agg(F.count_distinct("hash").alias("n_met"), F.first("n_windows").alias("n_windows")).where(F.col("n_met") >= coverage * F.col("n_windows")).select(*one))
+    slot = F.explode(F.filter(F.transform(F.arrays_zip("words", "found"), lambda s, k: F.struct(s["words"].alias("asked"), s["found"].alias("given"), (F.col("place") + k).alias("place"))), lambda s: s["asked"] < F.lit("\x05")))
+    number = F.col("slot.asked").startswith(NUMBER)
+    slots = within.join(enough, one, "left_semi").select(*one, slot.alias("slot"))
+    slots = slots.select(*one, number.alias("number"), F.col("slot.asked").alias("asked"), F.when(number, F.col("slot.place")).otherwise(-1).alias("place"), F.col("slot.given").alias("given")).distinct()
+    by_value = slots.groupBy(*one).agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("asked", "place").alias("n_asked"), F.count(F.when(~F.col("number"), 1)).alias("n_named"), F.count_distinct(F.when(~F.col("number"), F.col("given"))).alias("n_given")
     )
-    pairs = suspects.join(exact, ["id", "item"], "left").join(by_value, ["id", "item"], "left")
-    same = F.col("n_pairs").isNull() | ((F.col("n_pairs") == F.col("n_asked")) & (F.col("n_pairs") == F.col("n_given")))
+    fine = F.col("n_pairs").isNull() | ((F.col("n_pairs") == F.col("n_asked")) & (F.col("n_named") == F.col("n_given")))
+    fits = enough.join(by_value, one, "left").groupBy("id", "item").agg(F.max(fine).alias("fits"))
+    pairs = suspects.join(exact, ["id", "item"], "left").join(fits, ["id", "item"], "left")
+    same = F.coalesce("fits", F.lit(False))
     full = F.coalesce("n_exact", F.lit(0)) / F.col("n_windows")
     return pairs.select("id", "item", (F.col("n_shared") / F.col("n_windows")).alias("coverage"), full.alias("exact"), (same | (full >= coverage)).alias("consistent"))
 
@@ -106,8 +119,9 @@ def decontamination(
     """One row per document: ``id_col``, contaminated, n_items and, of the item most covered, best_item, coverage, exact.
 
     - contaminated: the document shares ``coverage`` or more of an item's
-      windows of ``size`` canonical tokens, and the slots are consistent or
-      that share of windows is word for word the same.
+      windows of ``size`` canonical tokens, and the slots are consistent in
+      one occurrence of that coverage, or over the whole document, or that
+      share of windows is word for word the same.
     - n_items counts such items; best_item is the one with the greatest
       coverage, of equals the least. Without any, coverage and exact are 0.
     - Null and short texts share nothing. Items of fewer than ``size`` tokens,

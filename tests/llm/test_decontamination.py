@@ -76,3 +76,23 @@ def test_empty_tables_and_null_ids(spark):
     assert [tuple(r) for r in decontamination(docs, items.limit(0)).collect()] == [(1, False, 0, None, 0.0, 0.0)]
     assert decontamination(docs.limit(0), items).count() == 0
     assert [r.doc_id for r in drop_contaminated(docs, items).collect()] == [None]
+
+
+BOXES = "The old shop keeps 3 large wooden boxes of 3 red apples near the door and sells 12 of them before the evening bell rings loudly."
+
+
+def boxes(a, b, c):
+    return BOXES.replace("3", str(a), 1).replace("of 3", f"of {b}").replace("12", str(c))
+
+
+def test_slots_are_judged_by_occurrence_and_place(spark):
+    other = QUESTION.replace("Tom has 12", "Bob has 7").replace("5 kg", "6 g").replace("to Ann", "to Eve").replace("3rd", "8th")
+    named = [QUESTION.replace("Tom", a).replace("Ann", b).replace("12", n).replace("5 kg", "6 g") for a, b, n in (("Bill", "Zoe", "7"), ("Carl", "Eve", "15"))]
+    texts = [
+        f"{boxes(7, 7, 20)} Some words between. {boxes(15, 15, 30)}", boxes(4, 5, 4), " and so on. ".join(named), " ".join(boxes(n, n + 1, n + 2).replace("near", "very near") for n in (20, 40, 60)),
+        f"{other} Then again. {other}", boxes(3, 3, 12).replace("wooden", "steel").replace("door", "gate").replace("sells", "buys"),
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, QUESTION), (2, BOXES)], "item_id long, text string")
+    got = {r.doc_id: r.best_item for r in decontamination(docs, items).collect()}
+    assert got == {0: 2, 1: 2, 2: 1, 3: 2, 4: None, 5: None}
