@@ -70,6 +70,31 @@ def _word_windows(df: DataFrame, size: int, *keep: str) -> DataFrame:
     return df.select(*keep, F.posexplode(both).alias("place", "w")).select(*keep, "place", "w.hash", "w.words")
 
 
+def _verbatim(plain: DataFrame, items: DataFrame, size: int, coverage: float) -> DataFrame | None:
+    """(id, item, share) by windows of real words, for items that templates don't cover: short ones, as one window, and those with windows mostly of placeholders. None if there are no such items."""
+    dense = _word_windows(items, size, "item").where(F.size(F.filter("words", lambda w: w < F.lit("\x05"))) > MOST_SLOTS).select("item").distinct()
+    # A marker depends on what stands around a text.
+    real = F.transform(tokens(F.col("text")), lambda w: F.translate(w, NAME + NUMBER + UNIT, ""))
+    cut = items.select("item", real.alias("words")).where(F.size("words") > 0)
+    hard = settled(cut.where(F.size("words") < size).union(cut.where(F.size("words") >= size).join(dense, "item", "left_semi")))
+    lengths = sorted(r.n for r in hard.select(F.least(F.size("words"), F.lit(size)).alias("n")).distinct().collect())
+    if not lengths:
+        return None
+
+    def with_length(n: int):
+        return lambda h: F.xxhash64(F.lit(n), h)
+
+    def of(words: Column, kept: Column | None = None) -> Column:
+        parts = [F.transform(windows(words, n), with_length(n)) for n in lengths]
+        return F.concat(*[p if kept is None else F.when(kept == n, p).otherwise(F.array().cast("array<bigint>")) for n, p in zip(lengths, parts)])
+
+    keys = settled(hard.select("item", F.explode(of(F.col("words"), F.least(F.size("words"), F.lit(size)))).alias("hash")).distinct())
+    sizes = settled(keys.groupBy("item").agg(F.count(F.lit(1)).alias("n_all")))
+    shared = plain.select("id", F.explode(F.element_at(F.transform(F.array(real), lambda words: of(words)), 1)).alias("hash")).join(small_side(keys), "hash")
+    counted = shared.groupBy("id", "item").agg(F.count_distinct("hash").alias("n")).join(small_side(sizes), "item")
+    return counted.where(F.col("n") >= coverage * F.col("n_all")).select("id", "item", (F.col("n") / F.col("n_all")).alias("share"))
+
+
 def contaminated_pairs(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, coverage: float = COVERAGE
 ) -> DataFrame:
@@ -110,7 +135,13 @@ def contaminated_pairs(
     pairs = suspects.join(exact, ["id", "item"], "left").join(fits, ["id", "item"], "left")
     same = F.coalesce("fits", F.lit(False))
     full = F.coalesce("n_exact", F.lit(0)) / F.col("n_windows")
-    return pairs.select("id", "item", (F.col("n_shared") / F.col("n_windows")).alias("coverage"), full.alias("exact"), (same | (full >= coverage)).alias("consistent"))
+    pairs = pairs.select("id", "item", (F.col("n_shared") / F.col("n_windows")).alias("coverage"), full.alias("exact"), (same | (full >= coverage)).alias("consistent"))
+    verbatim = _verbatim(plain, items, size, coverage)
+    if verbatim is None:
+        return pairs
+    by_template = F.coalesce("consistent", F.lit(False)) | F.col("share").isNull()
+    either = [F.when(by_template, F.col(c)).otherwise(F.col("share")).alias(c) for c in ("coverage", "exact")]
+    return pairs.join(verbatim, ["id", "item"], "full").select("id", "item", *either, F.when(by_template, F.col("consistent")).otherwise(True).alias("consistent"))
 
 
 def decontamination(
@@ -124,8 +155,9 @@ def decontamination(
       share of windows is word for word the same.
     - n_items counts such items; best_item is the one with the greatest
       coverage, of equals the least. Without any, coverage and exact are 0.
-    - Null and short texts share nothing. Items of fewer than ``size`` tokens,
-      and windows of placeholders mostly, match nothing.
+    - Windows of placeholders mostly have no template. Items that have such
+      windows also match by ``coverage`` of all their windows word for word,
+      items of fewer than ``size`` tokens as a whole and word for word.
     - A repeated id counts as one document; null ids are left out. Empty
       tables give nothing, or nothing contaminated. Other columns are ignored.
     """

@@ -96,3 +96,14 @@ def test_slots_are_judged_by_occurrence_and_place(spark):
     items = spark.createDataFrame([(1, QUESTION), (2, BOXES)], "item_id long, text string")
     got = {r.doc_id: r.best_item for r in decontamination(docs, items).collect()}
     assert got == {0: 2, 1: 2, 2: 1, 3: 2, 4: None, 5: None}
+
+
+def test_short_items_and_windows_of_placeholders_match_word_for_word(spark):
+    sums = "Solve 3 x 4 + 5 x 6 - 7 + 8 x 9 - 10 x 11"
+    mixed = "count the seven old wooden houses down there 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 21 22 23 24 25 26 27 28 29"
+    items = spark.createDataFrame([(1, sums), (2, "who wrote that book"), (3, mixed), (4, "")], "item_id long, text string")
+    texts = [f"Now we read and {sums} or so.", sums.replace("3", "30").replace("6", "60").replace("9", "90"), "Tell me: Who wrote that book?", "who wrote that old book", mixed[45:], "nothing of the kind", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.contaminated, r.best_item) for r in decontamination(docs, items).collect()}
+    assert got == {0: (True, 1), 1: (False, None), 2: (True, 2), 3: (False, None), 4: (True, 3), 5: (False, None), 6: (False, None)}
+    assert {r.doc_id for r in drop_contaminated(docs, items).collect()} == {1, 3, 5, 6}
