@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 _own_folder: list[str] = []
 
@@ -14,11 +16,14 @@ _own_folder: list[str] = []
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir.
 
-    Where it is unset, as in tests, a temporary folder of this machine is made
-    and used for the rest of the session.
+    Where it is unset and all runs in this process, as in tests, a temporary
+    folder of this machine is made and used for the rest of the session; on a
+    cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors see")
         if not _own_folder:
             _own_folder.append(tempfile.mkdtemp(prefix="objsql-"))
         folder = _own_folder[0]
@@ -49,13 +54,30 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Rows of a few numbers each that may be broadcast: some 20 MB.
-BROADCAST_ROWS = 250_000
+#: Bytes that may be broadcast, and what a row counts for beside its strings, arrays and maps.
+BROADCAST_BYTES, ROW_BYTES = 24 << 20, 48
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most that many rows, else as it is, to be joined by a shuffle.
+def _held(column: Column, kind: DataType) -> Column | None:
+    """Bytes of a value beyond a fixed width; None for numbers and the like."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0))
+    if isinstance(kind, ArrayType):
+        inner = _held(F.lit(None).cast(kind.elementType), kind.elementType)
+        each = F.lit(0) if inner is None else F.coalesce(F.aggregate(column, F.lit(0).cast("long"), lambda n, v: n + F.coalesce(_held(v, kind.elementType), F.lit(0))), F.lit(0))
+        return F.coalesce(F.size(column), F.lit(0)) * 16 + each
+    if isinstance(kind, MapType):
+        return _held(F.map_keys(column), ArrayType(kind.keyType)) + _held(F.map_values(column), ArrayType(kind.valueType))
+    if isinstance(kind, StructType):
+        parts = [h for f in kind.fields if (h := _held(column[f.name], f.dataType)) is not None]
+        return sum(parts[1:], parts[0]) if parts else None
+    return None
 
-    ``df`` should be cheap to count, as after ``settled``, and its rows short.
+
+def small_side(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it has at most that many bytes, else as it is, to be joined by a shuffle.
+
+    ``df`` is read to be measured, so it should be cheap to read, as after ``settled``.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    width = sum((h for f in df.schema.fields if (h := _held(df[f.name], f.dataType)) is not None), F.lit(ROW_BYTES))
+    return F.broadcast(df) if (df.agg(F.sum(width).alias("n")).first().n or 0) <= most else df
