@@ -25,12 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from objsql.llm.token_counts import _ODD_SPACE, _PIECES
+from objsql.llm.token_counts import CACHE_BYTES, batches_of, held_bytes, pieces_of
 
-#: Pieces of text whose ids a task remembers before it starts anew.
-CACHE_PIECES = 400_000
-#: Characters of text whose new words are replayed together.
-CORPUS_CHARS = 4 << 20
+#: Bytes of text whose new words are replayed together.
+CORPUS_BYTES = 4 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -155,13 +153,13 @@ def replay_of(ranks_path: str) -> MergeReplay:
 class TextCodec:
     """Encodes texts to little-endian 32-bit ids, remembering the pieces met before."""
 
-    def __init__(self, replay: MergeReplay, pattern: str, cache_pieces: int = CACHE_PIECES, corpus_chars: int = CORPUS_CHARS):
+    def __init__(self, replay: MergeReplay, pattern: str, cache_bytes: int = CACHE_BYTES, corpus_bytes: int = CORPUS_BYTES):
         import regex
 
         self.replay, self.split = replay, regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}  # ids of pieces
         self.words: dict[str, bytes] = {}  # and of the words they are made of
-        self.cache_pieces, self.corpus_chars = cache_pieces, corpus_chars
+        self.held, self.cache_bytes, self.corpus_bytes = 0, cache_bytes, corpus_bytes
 
     def _learn(self, pieces: list[str]) -> None:
         split, words = [self.split(piece) for piece in pieces], self.words
@@ -169,23 +167,19 @@ class TextCodec:
         words.update(zip(new, self.replay.encode_words([word.encode() for word in new])))
         for piece, own in zip(pieces, split):
             self.known[piece] = b"".join(map(words.__getitem__, own))
+        # Ids take about as much as the text.
+        self.held += 2 * (held_bytes(pieces) + held_bytes(new))
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        start = 0
-        while start < len(texts):
-            size, stop = 0, start
-            while stop < len(texts) and (size < self.corpus_chars or stop == start):
-                size += len(texts[stop] or "")
-                stop += 1
-            split = [([text] if _ODD_SPACE.search(text) else _PIECES.findall(text)) if text else [] for text in texts[start:stop]]
-            if len(self.known) > self.cache_pieces:
+        for start, stop in batches_of(texts, self.corpus_bytes):
+            split = [pieces_of(text) for text in texts[start:stop]]
+            if self.held > 2 * self.cache_bytes:
                 self.known.clear()
-            if len(self.words) > self.cache_pieces:
                 self.words.clear()
+                self.held = 0
             self._learn(list({piece for own in split for piece in own} - self.known.keys()))
             for own in split:
                 yield b"".join(map(self.known.__getitem__, own))
-            start = stop
 
     def decode(self, ids: bytes) -> bytes:
         return self.replay.decode(np.frombuffer(ids, "<u4").tolist())

@@ -5,11 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from objsql.llm.byte_bpe import MergeReplay, TextCodec, encode_documents, load_ranks, replay_of
-from objsql.llm.token_counts import PieceCounter, token_counts
+from objsql.llm.token_counts import PieceCounter, batches_of, pieces_of, token_counts
 
 TEXTS = [
     None, "", " ", "  ", "a", "a  b", "a   b\n\n c \n", "it's we'll  '", "x<|endoftext|>y <|endoftext|>", "é日本語 テスト", "a   b  c",
-    "!\x1c! a\x1c b", "\t\ttab\r\nline\r\n", "word " * 3000, "x" * 5000, "🙂🙃 👩‍👩‍👧", "12345 1,234.5%", "a   b", "end \n", "\n \n x",
+    "!\x1c! a\x1c b", "\t\ttab\r\nline\r\n", "word " * 3000, "x" * 5000, "🙂🙃 👩‍👩‍👧", "12345 1,234.5%", "a   b", "end \n", "\n \n x", "\u00a0a\u00a0b \u3000c\u2003\u2003 d\u202f!", "x\x1d y\x1f\u00a0z \x1e w", "no\u00a0break " * 2000,
 ]
 
 
@@ -33,7 +33,7 @@ def sample(spark):
 
 def test_counts_match_the_library(spark):
     texts = TEXTS + sample(spark)
-    assert PieceCounter(P.path("byte_bpe_50k.json"), cache_pieces=50, batch_bytes=2000).counts(texts) == library_counts(texts)
+    assert PieceCounter(P.path("byte_bpe_50k.json"), cache_bytes=6000, batch_bytes=2000).counts(texts) == library_counts(texts)
 
 
 def test_token_counts_rows(spark):
@@ -48,7 +48,7 @@ def test_token_counts_rows(spark):
 
 def test_replay_matches_the_library(spark):
     texts = TEXTS + sample(spark)
-    codec = TextCodec(replay_of(P.path("byte_bpe_50k.tiktoken")), P.PATTERN, cache_pieces=40, corpus_chars=3000)
+    codec = TextCodec(replay_of(P.path("byte_bpe_50k.tiktoken")), P.PATTERN, cache_bytes=5000, corpus_bytes=3000)
     import numpy as np
 
     assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)] == library_ids(texts)
@@ -81,3 +81,21 @@ def test_encode_documents(spark):
         assert (r.n_tokens, bytes(r.ids), r.ids_sha256) == (len(want[r.doc_id]), packed, hashlib.sha256(packed).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256((TEXTS[r.doc_id] or "").encode()).hexdigest()
     assert encode_documents(df.where(F.lit(False)), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+
+
+def test_pieces_are_small_and_caches_bounded():
+    """Odd white space cuts, too, and what is remembered is bounded by bytes."""
+    texts = [f"{k}\u00a0" + "word\u00a0" * 2000 + "字" * 3000 for k in range(60)]
+    counter = PieceCounter(P.path("byte_bpe_50k.json"), cache_bytes=100_000, batch_bytes=20_000)
+    assert counter.counts(texts) == library_counts(texts)
+    assert counter.held < 100_000 + 40_000 and sum(map(len, counter.known)) < counter.held
+    assert max(map(len, pieces_of("a\u00a0b\u3000c d"))) == 2
+    assert list(batches_of(["aa", None, "bbb", "c" * 50, "", "d"], 5)) == [(0, 3), (3, 4), (4, 6)]
+    codec = TextCodec(replay_of(P.path("byte_bpe_50k.tiktoken")), P.PATTERN, cache_bytes=100_000, corpus_bytes=20_000)
+    assert [len(x) // 4 for x in codec.encode(texts)] == [len(x) for x in library_ids(texts)] and codec.held < 400_000
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", "n", "i")] * 3 + [(None, None, None, None)], "doc_id long, text string, n_tokens string, _id string")
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in token_counts(df, P.path("byte_bpe_50k.json")).collect()) == [(0, 0), (1, 2), (1, 2), (1, 2)]
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in encode_documents(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()) == [(0, 0), (1, 2), (1, 2), (1, 2)]
