@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from objsql.llm.common import settled, small_side, written
+
 _EOL = "\r\n"
-#: Rows in an archive at most; a file is read as one value.
-ROWS_PER_FILE = 3_000
+#: For payloads of up to so many bytes (None: any), pages in an archive at most: a file is read as one value, so it is kept to some 50 MB or one page.
+PAGES_PER_FILE = ((16 << 10, 3_000), (1 << 20, 48), (None, 1))
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -37,17 +39,19 @@ def with_digests(pages: DataFrame, id_col: str, payload_col: str, url_col: str |
 
 
 def classified(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Adds ``first``: the smallest page with the same payload, if another than this one."""
-    # The first page of a digest is found over narrow rows and only kept where it has company.
-    least = (
-        pages.where(F.col("size") >= min_bytes)
-        .groupBy(F.col("digest").alias("same"), F.col("size").alias("same_size"))
-        .agg(F.min("page").alias("first"), F.max("page").alias("last"))
-        .where("first < last")
-        .select("same", "same_size", "first")
-    )
-    joined = pages.join(least, (pages["digest"] == least["same"]) & (pages["size"] == least["same_size"]), "left")
-    return joined.select("page", "url", "payload", "size", "digest", F.when(F.col("first") < F.col("page"), F.col("first")).alias("first"))
+    """Adds ``first``: the smallest page with the same payload, if another than this one; and ``row``: a number that tells rows apart whose id others have, too, or that have none.
+
+    Payloads of many pages make no hot key: equal ones are found by partial
+    aggregation of digests, and payloads are joined by page, if at all.
+    """
+    narrow = settled(pages.select("page", "digest", "size"))
+    same = ["digest", "size"]
+    least = narrow.where(F.col("size") >= min_bytes).groupBy(*same).agg(F.min("page").alias("first"), F.max("page").alias("last")).where("first < last").select(*same, "first")
+    revisits = settled(narrow.join(small_side(settled(least)), same).where("first < page").select(F.col("page").alias("of"), F.col("digest").alias("of_digest"), F.col("size").alias("of_size"), "first").distinct())
+    repeated = settled(narrow.groupBy(F.col("page").alias("again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 and again is not null").select("again"))
+    joined = pages.join(small_side(revisits), (F.col("page") == F.col("of")) & (F.col("digest") == F.col("of_digest")) & (F.col("size") == F.col("of_size")), "left").drop("of", "of_digest", "of_size")
+    joined = joined.join(small_side(repeated), F.col("page") == F.col("again"), "left")
+    return joined.select("page", "url", "payload", "size", "digest", "first", F.when(F.col("page").isNull() | F.col("again").isNotNull(), F.monotonically_increasing_id()).alias("row"))
 
 
 def _record(kind: str, record: Column, url: Column, block: Column, *fields: Column) -> Column:
@@ -61,7 +65,9 @@ def _record(kind: str, record: Column, url: Column, block: Column, *fields: Colu
 
 def records(pages: DataFrame) -> DataFrame:
     """One text per record, without its closing line breaks; ``pages`` from ``classified``."""
-    page, first = F.col("page").cast("string"), F.col("first").cast("string")
+    first = F.col("first").cast("string")
+    # All records of a capture are made from one row, so they agree on its number.
+    page = F.concat(F.coalesce(F.col("page").cast("string"), F.lit("")), F.when(F.col("row").isNull(), "").otherwise(F.concat(F.lit(":"), F.col("row").cast("string"))))
     # A line break or blank in an address would end its header line.
     url = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
     name = lambda kind, of: F.concat(F.lit(f"urn:capture:{kind}:"), of)
@@ -73,7 +79,7 @@ def records(pages: DataFrame) -> DataFrame:
     refers = F.concat(F.lit("WARC-Refers-To: <"), name("response", first), F.lit(">"))
     profile = F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
     concurrent = F.concat(F.lit("WARC-Concurrent-To: <"), name("response", page), F.lit(">"))
-    fetched = F.concat(F.lit("page: "), page, F.lit(_EOL))
+    fetched = F.concat(F.lit("page: "), F.coalesce(F.col("page").cast("string"), F.lit("")), F.lit(_EOL))
     response = F.when(F.col("first").isNull(), _record("response", name("response", page), url, F.concat(answer, F.col("payload")), digest)).otherwise(
         _record("revisit", name("response", page), url, answer, digest, refers, profile)
     )
@@ -81,9 +87,15 @@ def records(pages: DataFrame) -> DataFrame:
     return pages.select(F.explode(made).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
+def write_archives(pages: DataFrame, path: str, pages_per_file: tuple[tuple[int | None, int], ...] = PAGES_PER_FILE) -> None:
     """Writes ``classified`` pages as gzipped WARC files."""
-    records(pages).write.option("lineSep", _EOL * 2).option("maxRecordsPerFile", rows_per_file).option("compression", "gzip").text(path)
+    least = 0
+    largest = pages.agg(F.max("size").alias("n")).first().n or 0
+    for most, count in pages_per_file:
+        if least == 0 or largest >= least:
+            own = pages.where((F.col("size") >= least) & (F.col("size") < most if most else F.lit(True)))
+            records(own).write.mode("append").option("lineSep", _EOL * 2).option("maxRecordsPerFile", 3 * count).option("compression", "gzip").text(path)
+        least = most
 
 
 _FIELDS = {b"warc-type": "kind", b"warc-record-id": "record", b"warc-concurrent-to": "concurrent_to", b"warc-refers-to": "refers_to", b"warc-payload-digest": "digest", b"warc-target-uri": "url"}
@@ -151,18 +163,19 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 def transactions(found: DataFrame) -> DataFrame:
     """One nested row per capture: its response or revisit with the request and metadata concurrent to it.
 
-    - Records are joined through WARC-Concurrent-To; request and metadata that
-      name no response in the archives are kept, with a null response.
-    - A record that is there twice counts once.
+    - Records are joined through WARC-Concurrent-To, in one shuffle: each
+      capture has a bounded number of records. Request and metadata that name no
+      response in the archives are kept, with a null response.
+    - A record that is there twice counts once, of different ones with one id
+      and kind the least.
     """
     key = F.when(F.col("kind").isin("response", "revisit"), F.col("record")).otherwise(F.col("concurrent_to"))
     has_payload = "payload" in found.columns
     inner = ["kind", "record", "url", "refers_to", "digest", "http_length", "payload_digest", "payload_bytes", *["payload"] * has_payload]
-    # One pass: each capture has a bounded number of records, and its id is unique.
     return found.groupBy(key.alias("capture")).agg(
-        F.first(F.when(F.col("kind") == "request", F.struct("record", "content")), True).alias("request"),
-        F.first(F.when(F.col("kind").isin("response", "revisit"), F.struct(*inner)), True).alias("response"),
-        F.first(F.when(F.col("kind") == "metadata", F.struct("record", "content")), True).alias("metadata"),
+        F.min(F.when(F.col("kind") == "request", F.struct("record", "content"))).alias("request"),
+        F.min(F.when(F.col("kind").isin("response", "revisit"), F.struct(*inner))).alias("response"),
+        F.min(F.when(F.col("kind") == "metadata", F.struct("record", "content"))).alias("metadata"),
     )
 
 
@@ -174,21 +187,31 @@ def archive_roundtrip(pages: DataFrame, path: str, id_col: str = "page_id", payl
       the response and the others are revisits of it; smaller payloads are all
       responses. Digests and sizes are of full payloads; a revisit's size is
       the Content-Length in its stored HTTP header.
-    - Ids must be whole numbers and not null. A row that repeats an id repeats
-      a record id, so the capture comes out once.
+    - verified: a response's digest is that of the payload that was read; a
+      revisit's digest and size are those of the response that it refers to.
+    - Ids must be whole numbers. Rows that repeat an id are captures of their
+      own, alike in id; those of the smallest id are all responses. A row with
+      a null id is a response that no other refers to.
     - An empty table gives an empty table. Other columns are ignored.
     """
     kind = pages.schema[id_col].dataType.simpleString()
     write_archives(classified(with_digests(pages, id_col, payload_col, url_col), min_bytes), path)
-    found = transactions(read_archives(pages.sparkSession, path, payloads=False))
-    page = lambda record: F.regexp_extract(record, r":(-?\d+)$", 1).cast(kind)
-    return found.select(
-        page(F.col("capture")).alias(id_col),
+    found = written(transactions(read_archives(pages.sparkSession, path, payloads=False)), "captures")
+    page = lambda record: F.regexp_extract(record, r"^urn:capture:[a-z]+:(-?\d+)", 1)
+    number = lambda record: F.when(page(record) != "", page(record)).cast(kind)
+    referred = settled(found.select(F.col("response.refers_to").alias("to")).where("to is not null").distinct())
+    # A page that is there several times has responses of equal payload under names of their own.
+    name = F.concat(F.lit("urn:capture:response:"), page(F.col("capture")))
+    there = found.where("response.kind = 'response'").select(name.alias("to"), F.col("response.payload_digest").alias("its_digest"), F.col("response.payload_bytes").alias("its_bytes"))
+    there = settled(there.join(small_side(referred), "to").distinct())
+    met = found.join(small_side(there), (F.col("response.refers_to") == F.col("to")) & (F.col("its_digest") == F.col("response.digest")), "left")
+    return met.select(
+        number(F.col("capture")).alias(id_col),
         F.col("response.http_length").alias("payload_bytes"),
         # Of a response the digest is taken anew from what was read.
         F.coalesce("response.payload_digest", "response.digest").alias("payload_digest"),
         F.col("response.kind").alias("record_type"),
-        F.when(F.col("response.refers_to").isNotNull(), page(F.col("response.refers_to"))).alias("refers_to"),
-        F.when(F.col("response.kind") == "response", F.col("response.payload_digest") == F.col("response.digest")).alias("verified"),
+        number(F.col("response.refers_to")).alias("refers_to"),
+        F.when(F.col("response.kind") == "response", F.col("response.payload_digest") == F.col("response.digest")).otherwise(F.coalesce(F.col("its_bytes") == F.col("response.http_length"), F.lit(False))).alias("verified"),
         F.struct("request", "metadata").alias("concurrent"),
     )
