@@ -199,12 +199,16 @@ class BoostedTrees:
 def fit_quality(counts: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> BoostedTrees | None:
     """A model from the labelled documents; None without a label.
 
-    At most ``train_rows`` rows are used, those whose hashed id is least; of an
-    id labelled more than once the greatest label counts.
+    At most ``train_rows`` labelled ids are used, those whose hash is least; of
+    an id labelled more than once the greatest label counts, of one with
+    several texts the least counts. Only ids are ordered, and the driver gets
+    the numbers of the sample alone.
     """
     known = labels.where(labels[id_col].isNotNull() & labels[label_col].isNotNull()).groupBy(labels[id_col].alias("_id")).agg(F.max(label_col).alias("_label"))
-    rows = counts.join(known, counts[id_col] == known["_id"]).select(*COUNTS, "_label", "_id")
-    sample = rows.orderBy(F.xxhash64("_id"), "_id", *COUNTS).limit(train_rows).toPandas()
+    known = known.orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
+    # At most train_rows rows of two numbers.
+    rows = counts.join(F.broadcast(known), counts[id_col] == known["_id"])
+    sample = rows.groupBy("_id").agg(F.min("_label").alias("_label"), F.min(F.struct(*COUNTS)).alias("_counts")).orderBy(F.xxhash64("_id"), "_id").select("_label", "_counts.*").toPandas()
     if sample.empty:
         return None
     x = features({c: sample[c].to_numpy() for c in COUNTS})

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from objsql.llm.quality import COUNTS, FEATURES, BoostedTrees, document_counts, quality_filter
+from objsql.llm.quality import COUNTS, FEATURES, BoostedTrees, document_counts, fit_quality, quality_filter
 
 TEXTS = [None, "", " \n\t", "a b c a b c", "x", "# $% a&b|<>*", "one\none\n \n\ntwo\none \n", "é è é è é è", "A1 b2, C3.\n" * 40, "w " * 5000, "\x0bq\x0cq\rq"]
 
@@ -51,6 +51,30 @@ def test_trees_are_monotone_and_learn():
         assert (steps >= -1e-12).all()
 
 
+def test_flat_scores_match_a_walk_down_the_trees():
+    g = np.random.Generator(np.random.PCG64(2))
+    x = g.random((600, 4)).round(1)
+    model = BoostedTrees((1, 0, -1, 0), trees=12).fit(x, (x[:, 0] + x[:, 1] * x[:, 3] + 0.2 * g.normal(size=600) > 0.8).astype(float))
+
+    def walk(node, row):
+        if model.left[node] == node:
+            return model.value[node]
+        side = model.left if row[model.feature[node]] <= model.threshold[node] else model.right
+        return walk(side[node], row)
+
+    want = [model.base + sum(walk(root, row) for root in model.roots) for row in x]
+    assert len(set(np.round(want, 6))) > 20 and np.allclose(model.score(x), want)
+
+
+def test_sample_of_the_fit_is_bounded(spark):
+    docs = spark.range(300).selectExpr("id as doc_id", "repeat(concat('w', id % 7, ' '), cast(50 + id % 9 as int)) as text")
+    counts = document_counts(docs.union(docs))
+    labels = spark.range(300).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    model = fit_quality(counts, labels, train_rows=50)
+    again = fit_quality(counts.repartition(5), labels.union(labels), train_rows=50)
+    assert np.array_equal(model.value, again.value) and np.array_equal(model.threshold, again.threshold)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
