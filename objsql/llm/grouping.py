@@ -1,75 +1,105 @@
 """Links within buckets and the connected groups that links make.
 
-Both work without listing the pairs of a bucket or holding a bucket in one
-task: the members of a large bucket are linked to a representative that a
-partial aggregation finds, and groups are contracted to stars by joins on node
-ids.
+Both work without listing the pairs of a bucket of copies or holding a bucket
+in one task: the members of a large bucket are compared with a representative
+that a partial aggregation finds, only what that leaves apart is compared with
+the rest, and groups are contracted to stars by joins on node ids.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from objsql.llm.common import settled, written
+from objsql.llm.common import settled, small_side, written
 
+#: Buckets of up to so many members have all their pairs compared at once; rounds of representatives in larger ones.
+SMALL, STARS = 8, 2
+#: Tasks that the rest of a large bucket is dealt to.
+SALTS = 16
+#: Comparisons that the rest of a large bucket may need before it is dealt by ``finer``.
+DIRECT = 4096
 
-#: Buckets of up to so many members have all their pairs compared, at first and once their members have been connected.
-SMALL, LEFT = 8, 16
-ROUNDS = 3
 
+def verified_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: float, finer: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Links (a, b), a > b, that connect members (key, id, size) of a bucket just as all links between them would.
 
-def verified_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links (a, b), a > b, between members (key, id) of the same bucket that ``verify`` confirms.
-
-    ``verify`` gets candidate pairs (a, b) and returns those that hold; a pair
-    is compared once however many buckets share it. In a bucket of up to SMALL
-    members all pairs are. In a larger one each member is compared with the
-    member that shares the most buckets, which in a group of variants of a text
-    is the text nearest to all. Who is connected to it by then, through
-    whatever links, is done there. Of the others one for each connected group
-    goes on: with all others where LEFT or fewer are left, else with the next
-    representative, and in the last round dealt anew by the other keys they
-    have, of which texts that are alike share many. So the rows grow with the
-    members and not with pairs, and what can be missed is a link in a bucket
-    where more than LEFT groups stay apart, of two texts that no representative
-    of any bucket of theirs is like.
+    ``verify`` gets candidate pairs (a, b) and returns those that hold, which
+    ones whose sizes' quotient is under ``ratio`` never do; a pair is compared
+    once however many buckets share it. In a bucket of up to SMALL members all
+    pairs are. In a larger one representatives, each the member in most other
+    buckets of those still apart, are compared with all that aren't connected to
+    them yet. Then every member outside the representative's group is compared
+    with all members that aren't connected to it by then: two texts in different
+    groups can't both be in the representative's, so none of their links is
+    lost. What is connected is never compared again, so a bucket of copies
+    costs as much as it has members; one of many texts that are alike in the
+    key alone would cost its square, so ``finer``, given the members outside and
+    all members, both (key, id, size, own), may return fewer pairs (key, id, other)
+    without losing a link.
     """
     members = settled(members.distinct())
-    order = F.struct("degree", F.xxhash64("id"))
-    left, links, checked = members, None, None
-    for number in range(ROUNDS):
-        small = LEFT if number else SMALL
-        sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        left = settled(left.join(sizes, "key"))
-        ranked = left.join(left.groupBy("id").agg(F.sum("n").alias("degree")), "id")
-        heads = ranked.groupBy("key").agg(F.max_by("id", order).alias("rep"))
-        near = settled(ranked.join(heads, "key"))
-        little = near.where(F.col("n") <= small)
-        large = near.where(F.col("n") > small)
-        every = little.select("key", "id").join(little.select("key", F.col("id").alias("other")), "key").where("id > other").select("id", "other")
-        pairs = large.select("id", F.col("rep").alias("other")).union(every).where("id <> other").select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = settled(members.join(sizes, "key"))
+    links, checked = [], []
+
+    def compare(pairs: DataFrame) -> None:
+        pairs = pairs.where("id <> other").select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
+        for done in checked:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = settled(pairs)
-        found = settled(verify(pairs))
-        links = found if links is None else links.union(found)
-        checked = pairs if checked is None else checked.union(pairs)
-        if number == ROUNDS - 1 or large.isEmpty():
+        checked.append(pairs)
+        links.append(settled(verify(pairs)))
+
+    def like(x: str, y: str) -> Column:
+        return F.least(x, y) >= ratio * F.greatest(x, y)
+
+    def grouped() -> DataFrame:
+        found = links[0]
+        for more in links[1:]:
+            found = found.union(more)
+        return settled(connected_groups(found))
+
+    little = members.where(F.col("n") <= SMALL)
+    large = members.where(F.col("n") > SMALL)
+    every = little.select("key", "id", "size").join(little.select("key", F.col("id").alias("other"), F.col("size").alias("its_size")), "key").where("id > other").where(like("size", "its_size")).select("id", "other")
+    if large.isEmpty():
+        compare(every)
+        return links[0]
+    degrees = large.groupBy("id").agg(F.sum("n").alias("degree"))
+    large = settled(large.join(degrees, "id"))
+    order = F.struct("degree", F.xxhash64("id"))
+    own = apart = large.withColumn("own", F.col("id"))
+    for number in range(STARS):
+        reps = apart.groupBy("key").agg(F.max_by(F.struct("id", "size", "own"), order).alias("rep"))
+        reps = settled(reps.select("key", F.col("rep.id").alias("other"), F.col("rep.size").alias("its_size"), F.col("rep.own").alias("its")))
+        star = own.join(small_side(reps), "key").where(F.col("own") != F.col("its")).where(like("size", "its_size")).select("id", "other")
+        compare(star if number else star.union(every))
+        groups = small_side(grouped())
+        own = settled(large.join(groups.withColumnRenamed("root", "own"), "id", "left").withColumn("own", F.coalesce("own", "id")))
+        # The largest group of a bucket; what is outside it is still to be compared.
+        first = own.groupBy("key", "own").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("own", F.struct("m", "own")).alias("most"))
+        apart = settled(own.join(small_side(settled(first)), "key").where(F.col("own") != F.col("most")).drop("most"))
+        if apart.isEmpty():
             break
-        groups = settled(connected_groups(links))
-        of_id, of_rep = groups.select("id", F.col("root").alias("own")), groups.select(F.col("id").alias("rep"), F.col("root").alias("its"))
-        apart = large.join(of_id, "id", "left").join(of_rep, "rep", "left").withColumn("own", F.coalesce("own", "id")).where(F.col("own") != F.coalesce("its", "rep"))
-        rest = settled(apart.groupBy("key", "own").agg(F.max_by("id", order).alias("id")).select("key", "id"))
-        left = rest
-        if number == ROUNDS - 2:
-            counts = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-            many = rest.join(counts.where(F.col("n") > LEFT), "key").select("key", "id")
-            finer = many.join(members.select("id", F.col("key").alias("with")), "id").where("key < with").select(F.xxhash64("key", "with").alias("key"), "id")
-            left = rest.join(counts.where(F.col("n") <= LEFT), "key").select("key", "id").union(finer)
-    return links.distinct()
+    else:
+        counts = apart.groupBy("key").agg((F.count(F.lit(1)) * F.max("n")).alias("cost"))
+        counts = settled(counts)
+        direct = apart.join(small_side(counts.where(F.col("cost") <= DIRECT)), "key", "left_semi") if finer else apart
+        # Members are dealt to tasks; each task sees all that is apart.
+        left = direct.select("key", "id", "size", "own", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        right = own.select("key", F.col("id").alias("other"), F.col("size").alias("its_size"), F.col("own").alias("its"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+        rest = left.join(right, ["key", "salt"]).where(F.col("own") != F.col("its")).where(like("size", "its_size")).select("id", "other")
+        if finer:
+            crowded = small_side(counts.where(F.col("cost") > DIRECT).select("key"))
+            rest = rest.union(finer(apart.join(crowded, "key", "left_semi"), own.join(crowded, "key", "left_semi")).select("id", "other"))
+        compare(rest)
+    found = links[0]
+    for more in links[1:]:
+        found = found.union(more)
+    return found
 
 
 def connected_groups(links: DataFrame) -> DataFrame:
@@ -77,19 +107,22 @@ def connected_groups(links: DataFrame) -> DataFrame:
 
     Large-star and small-star contraction: every step points nodes at the least
     of their neighbours, until nothing changes. The number of steps grows with
-    the logarithm of the group's diameter.
+    the logarithm of the group's diameter. Least neighbours are found by partial
+    aggregation, so a group's root, which has all its nodes as neighbours, makes
+    no hot key there; edges that are star-shaped already are left out of the joins.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:
         # Small star: a node's smaller neighbours and itself point at the least of them.
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        small = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        small = written(small, "edges")
-        # Large star: a node's larger neighbours point at the least of its neighbourhood.
-        both = small.union(small.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        edges = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        least = edges.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("x"))
+        several = small_side(settled(least.where("m <> x").select("u", "m")))
+        moved = edges.join(several, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = written(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        # Large star: a node's larger neighbours point at the least of its neighbourhood; only neighbours of nodes that have a smaller one move.
+        above = settled(small.groupBy("u").agg(F.min("v").alias("m")))
+        lower = small_side(above.select(F.col("u").alias("v"), "m"))
+        edges = written(small.join(lower, "v", "left").select("u", F.coalesce("m", "v").alias("v")).union(above.select("u", F.col("m").alias("v"))).distinct(), "edges")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))

@@ -1,12 +1,18 @@
 """Line dedup: one occurrence stays of each group of equal or nearly equal lines.
 
 Lines are normalised: lower case, every digit 0, words split at white space and
-ASCII punctuation. Equal normalised lines are one node. Each distinct line has
-a 64-bit SimHash of its words; lines whose SimHashes differ in at most three
-bits agree in two of five blocks, whichever the bits are, so ten joins, one
-for each choice of two blocks, find them all. Candidates are verified by
-edit similarity, and of each connected group the first occurrence, by document
-id and line number, is kept.
+ASCII punctuation. Equal normalised lines are repeats. The SimHash of a line is
+made of blocks, each the SimHash of its own share of the line's words, which a
+word's hash deals out. So a changed word alters two blocks at most, an added or
+missing one a single block, and lines that differ in a few words agree in some
+block by the pigeonhole principle, however short they are. Longer lines have more
+blocks, as more of their words may change; a block also outlives changes to a
+few of its many words. Words count with their length, as they do in edit
+distance. Lines meet in one block, short ones in two, as the words of one would
+say too little.
+
+Lines that meet are verified by edit similarity, and of each connected group the
+first occurrence, by document id and line number, is kept.
 """
 
 from __future__ import annotations
@@ -22,191 +28,384 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from objsql.llm.common import settled, small_side, written
-from objsql.llm.grouping import connected_groups
-from objsql.llm.text_kernel import PUNCT, Run, runs, sequence_hashes
-
-MIN_WORDS, SIMILARITY, BITS = 5, 0.8, 3
-_EDGES = (0, 13, 26, 39, 52, 64)
-#: For each choice of two of the five blocks, the bits that must agree.
-MASKS = [sum(((1 << _EDGES[b + 1]) - (1 << _EDGES[b])) for b in chosen) for chosen in combinations(range(5), 2)]
+from objsql.llm.grouping import connected_groups, verified_links
+from objsql.llm.text_kernel import PUNCT, Run, mix, runs, sequence_hashes
+
+MIN_WORDS, SIMILARITY = 5, 0.8
+#: For lines of so many different words (None: no limit): blocks, how many must agree, and bits of a block. The ranges overlap by as much as lines that are alike differ.
+SCHEMES = ((1, 20, 4, 2, 24), (16, 50, 4, 1, 32), (40, 100, 6, 1, 32), (80, 200, 10, 1, 32), (160, None, 16, 1, 32))
+#: The words of a meeting place weigh this share of what they would on average, and are two if the line has two, at least: a few short words make lines meet that have nothing else in common.
+LEAST_SHARE = 0.5
+#: Longer words weigh no more.
+MOST_WEIGHT = 16
+#: Features whose weights a 16-bit lane can sum.
+_LANE = 65535 // MOST_WEIGHT
 _DIGITS = np.arange(256, dtype=np.uint8)
 _DIGITS[48:58] = 48
-#: For a byte, eight lanes of a bit each.
-_LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
-
+#: For four bits, four lanes of a bit each.
+_LANES = np.array([sum(((b >> i) & 1) << (16 * i) for i in range(4)) for b in range(16)], np.uint64)
+_TO_SPACE = bytes(0x20 if PUNCT[b] else b for b in range(256))
 
-def simhashes(hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    """SimHash of each stretch of word hashes, firsts[i] to firsts[i + 1], none empty: a bit is set if most words set it."""
-    n = np.diff(firsts)
-    # Byte lanes hold sums of up to 255 words; longer lines are summed in parts.
-    parts = np.maximum(1, -(-n // 255))
-    owner = np.repeat(np.arange(len(n)), parts)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-    begins = firsts[:-1][owner] + 255 * offset
-    first_part = np.flatnonzero(offset == 0)
-    out = np.zeros(len(n), np.uint64)
-    for byte in range(8):
-        lanes = np.add.reduceat(_LANES[(hashes >> np.uint64(8 * byte)) & np.uint64(255)], begins)
-        counts = lanes.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64)
-        if len(owner) > len(n):
-            counts = np.add.reduceat(counts, first_part, axis=0)
-        bits = 2 * counts > n[:, None]
-        out |= (bits @ (1 << np.arange(8))).astype(np.uint64) << np.uint64(8 * byte)
-    return out
 
+def distinct_words(words: np.ndarray, lengths: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of each stretch, firsts[i] to firsts[i + 1], sorted and once each, with their weights; and where each stretch begins now."""
+    owner = np.repeat(np.arange(len(firsts) - 1, dtype=np.uint64), np.diff(firsts))
+    order = np.argsort((owner << np.uint64(40)) | (words >> np.uint64(24)), kind="stable")
+    words, owner = words[order], owner[order]
+    new = np.ones(len(words), bool)
+    new[1:] = (words[1:] != words[:-1]) | (owner[1:] != owner[:-1])
+    return words[new], np.minimum(lengths[order[new]], MOST_WEIGHT).astype(np.uint64), np.searchsorted(owner[new], np.arange(len(firsts)))
 
-def normalised(run: Run) -> Run:
-    return Run(run.first, _DIGITS[run.data], run.bounds)
 
+def block_hashes(words: np.ndarray, weight: np.ndarray, firsts: np.ndarray, blocks: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each stretch of ``distinct_words``, none empty, the SimHash of each block's words (0: no word), their number and weight.
 
-def lines_of(run: Run, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, line number, key and SimHash of each line of ``min_words`` normalised words or more."""
-    run = normalised(run)
+    A word is in the block that its hash says, and counts once however often it
+    occurs, or a frequent word would outvote the rest.
+    """
+    n = len(firsts) - 1
+    owner = np.repeat(np.arange(n, dtype=np.uint64), np.diff(firsts))
+    feature = mix(words)
+    segment = owner * np.uint64(blocks) + ((words >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32))
+    begins = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]])) if len(words) else np.zeros(0, np.int64)
+    count = np.diff(np.append(begins, len(words)))
+    # Longer stretches than a lane can sum are summed in parts.
+    parts = -(-count // _LANE)
+    offset = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    part_begins = np.repeat(begins, parts) + _LANE * offset
+    first_part = np.flatnonzero(offset == 0)
+    total = np.add.reduceat(weight, begins) if len(begins) else weight
+    code = np.zeros(len(begins), np.uint64)
+    for j in range(0, bits, 4):
+        if not len(begins):
+            break
+        lanes = np.add.reduceat(_LANES[(feature >> np.uint64(j)) & np.uint64(15)] * weight, part_begins)
+        for i in range(min(4, bits - j)):
+            votes = (lanes >> np.uint64(16 * i)) & np.uint64(0xFFFF)
+            if len(part_begins) > len(begins):
+                votes = np.add.reduceat(votes, first_part)
+            code |= (2 * votes > total).astype(np.uint64) << np.uint64(j + i)
+    codes, counts, weights = np.zeros(n * blocks, np.uint64), np.zeros(n * blocks, np.int64), np.zeros(n * blocks, np.int64)
+    place = segment[begins].astype(np.int64)
+    codes[place], counts[place], weights[place] = code, count, total
+    return codes.reshape(n, blocks), counts.reshape(n, blocks), weights.reshape(n, blocks)
+
+
+def meeting_keys(words: np.ndarray, weight: np.ndarray, firsts: np.ndarray, blocks: int, agree: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(stretch, key) of the meeting places of each stretch: each choice of ``agree`` of its blocks that holds enough words."""
+    codes, counts, weights = block_hashes(words, weight, firsts, blocks, bits)
+    least, few = LEAST_SHARE * agree * weights.sum(axis=1), np.minimum(2, np.diff(firsts))
+    rows, keys = [], []
+    for number, chosen in enumerate(combinations(range(blocks), agree)):
+        own = np.flatnonzero((counts[:, chosen].sum(axis=1) >= few) & (weights[:, chosen].sum(axis=1) * blocks >= least))
+        key = np.full(len(own), (number * 64 + blocks) * 8 + agree, np.uint64)
+        for block in chosen:
+            key = mix(key * np.uint64(0x100000001B3) + codes[own, block])
+        rows.append(own)
+        keys.append(key)
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def lines_of(run: Run, min_words: int) -> dict[str, np.ndarray]:
+    """Of each line with a word: its text's number, line number, two hashes of its normalised words (key, check) and their size in characters; and for lines of ``min_words`` words or more (line, meet): meeting places.
+
+    In shorter lines digits stay as they are.
+    """
+    raw, run = run, Run(run.first, _DIGITS[run.data], run.bounds)
     line_starts, line_ends, owner = run.lines()
     starts, ends, _ = run.spans(PUNCT)
     firsts = np.searchsorted(starts, np.append(line_starts, len(run.data) + 1), "left")
-    number = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(run)))[owner]
-    long = np.flatnonzero(np.diff(firsts) >= min_words)
+    n = np.diff(firsts)
     words = run.hashes(starts, ends)
-    keys = sequence_hashes(words, firsts)[long]
-    # Only the words of these lines, laid side by side.
-    n = np.diff(firsts)[long]
-    bounds = np.concatenate([[0], np.cumsum(n)])
-    picked = np.repeat(firsts[:-1][long] - bounds[:-1], n) + np.arange(bounds[-1])
-    sims = simhashes(words[picked], bounds) if len(long) else np.zeros(0, np.uint64)
-    return owner[long], number[long], keys, sims
+    key = sequence_hashes(words, firsts)
+    digits = np.zeros(len(run.data) + 1, np.int64)
+    np.cumsum((raw.data >= 48) & (raw.data <= 57), out=digits[1:])
+    bare = np.flatnonzero((n > 0) & (n < min_words) & (digits[line_ends] > digits[line_starts]))
+    if len(bare):
+        size = (line_ends - line_starts)[bare]
+        cut = np.concatenate([[0], np.cumsum(size)])
+        part = Run(0, raw.data[np.repeat(line_starts[bare] - cut[:-1], size) + np.arange(cut[-1])], cut)
+        own_starts, own_ends, own = part.spans(PUNCT)
+        key[bare] = sequence_hashes(part.hashes(own_starts, own_ends), np.searchsorted(own, np.arange(len(bare) + 1)))
+    # Characters are bytes that don't continue one.
+    chars = np.zeros(len(run.data) + 1, np.int64)
+    np.cumsum((run.data & 0xC0) != 0x80, out=chars[1:])
+    word_chars = chars[ends] - chars[starts]
+    held = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(word_chars, out=held[1:])
+    some = np.flatnonzero(n > 0)
+    number = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(run)))[owner]
+    line, meet = [], []
+    able = np.flatnonzero(n[some] >= min_words)
+    cut = np.concatenate([[0], np.cumsum(n[some[able]])])
+    picked = np.repeat(firsts[:-1][some[able]] - cut[:-1], n[some[able]]) + np.arange(cut[-1])
+    kind, weight, begins = distinct_words(words[picked], word_chars[picked], cut)
+    kinds = np.diff(begins)
+    for least, most, *scheme in SCHEMES:
+        own = np.flatnonzero((kinds >= least) & (kinds <= (most or len(words))))
+        if len(own):
+            cut = np.concatenate([[0], np.cumsum(kinds[own])])
+            picked = np.repeat(begins[:-1][own] - cut[:-1], kinds[own]) + np.arange(cut[-1])
+            at, keys = meeting_keys(kind[picked], weight[picked], cut, *scheme)
+            line.append(able[own[at]])
+            meet.append(keys)
+    # Another hash, of the sum of the words' hashes and their number: equal lines have equal ones, and it owes nothing to their order.
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(mix(words), out=total[1:])
+    check = mix(total[firsts[1:]] - total[firsts[:-1]] + n.astype(np.uint64))
+    none = np.zeros(0, np.int64)
+    return {
+        "text": owner[some], "number": number[some], "key": key[some], "check": check[some], "size": (held[firsts[1:]] - held[firsts[:-1]])[some] + n[some] - 1,
+        "line": np.concatenate([none, *line]), "meet": np.concatenate([none.astype(np.uint64), *meet]),
+    }
 
 
 def _occurrences(docs: DataFrame, min_words: int) -> DataFrame:
+    """id, version (a hash of the text), number, key, check, size and meets of each line with a word."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for run in runs(pc.utf8_lower(batch.column(1))):
-                owner, number, keys, sims = lines_of(run, min_words)
-                columns = [batch.column(0).take(pa.array(owner + run.first)), pa.array(number, pa.int64()), pa.array(keys.view(np.int64)), pa.array(sims.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "number", "key", "sim"])
-
-    return docs.mapInArrow(emit, "id long, number long, key long, sim long")
+            for run in runs(pc.utf8_lower(batch.column(2))):
+                found = lines_of(run, min_words)
+                order = np.argsort(found["line"], kind="stable")
+                bounds = np.searchsorted(found["line"][order], np.arange(len(found["text"]) + 1)).astype(np.int32)
+                at = pa.array(found["text"] + run.first)
+                columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(found["number"], pa.int64()), pa.array(found["key"].view(np.int64)), pa.array((found["check"] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(found["size"], pa.int32())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(bounds), pa.array(found["meet"][order].view(np.int64)))], ["id", "version", "number", "key", "check", "size", "meets"])
 
+    return docs.mapInArrow(emit, "id long, version long, number long, key long, check int, size int, meets array<long>")
 
-def _bucket_pairs(rows: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b), a > b, of rows (bucket, key, sim), sorted by bucket and key, that agree but for ``bits`` bits.
 
-    A bucket's first row represents it, and so does each that no representative
-    before it is near; rows are paired with the representatives near them. Only
-    the representatives of the last bucket are held from batch to batch.
-    """
-    last, held_keys, held_sims = None, np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    for batch in rows:
-        bucket, key, sim = (batch.column(k).to_numpy() for k in range(3))
-        sim = sim.view(np.uint64)
-        if not len(bucket):
-            continue
-        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        sizes = np.diff(np.append(starts, len(bucket)))
-        # Most rows are near the first of their bucket; only what is left is gone through bucket by bucket.
-        first = np.repeat(starts, sizes)
-        close = np.bitwise_count(sim ^ sim[first]) <= bits
-        pairs: list[tuple[np.ndarray, np.ndarray]] = [(key[first[close]], key[close])]
-        far = np.add.reduceat(~close, starts)
-        again = far > np.where(sizes == 2, 1, 0)
-        again[0] |= bucket[0] == last
-        again[-1] = True
-        more = list(zip(starts[again].tolist(), sizes[again].tolist()))
-        for start, n in more:
-            keys, sims = key[start : start + n], sim[start : start + n]
-            own_keys, own_sims = (held_keys, held_sims) if start == 0 and bucket[0] == last else (held_keys[:0], held_sims[:0])
-            lone = np.ones(n, bool)
-            for k, s in zip(own_keys, own_sims):
-                close = np.bitwise_count(sims ^ s) <= bits
-                pairs.append((np.full(close.sum(), k), keys[close]))
-                lone &= ~close
-            own_keys, own_sims = [own_keys], [own_sims]
-            while lone.any():
-                at = int(np.argmax(lone))
-                close = np.bitwise_count(sims ^ sims[at]) <= bits
-                pairs.append((np.full(close.sum(), keys[at]), keys[close]))
-                own_keys.append(keys[at : at + 1])
-                own_sims.append(sims[at : at + 1])
-                lone &= ~close
-            held_keys, held_sims = np.concatenate(own_keys), np.concatenate(own_sims)
-        last = bucket[-1]
-        x, y = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-        apart = x != y
-        a, b = np.maximum(x, y)[apart], np.minimum(x, y)[apart]
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-
-def _line_texts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
-    """key and normalised words of lines given as (id, number, key)."""
-    by_doc = settled(wanted.groupBy(F.col("id").alias("of")).agg(F.collect_set("key").alias("keys")))
-    joined = docs.join(small_side(by_doc), F.col("id") == F.col("of")).select("text", "keys")
+def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key and normalised words of the lines given as (id, version, number, key)."""
+    by_doc = settled(wanted.groupBy(F.col("id").alias("of"), F.col("version").alias("of_version")).agg(F.collect_list(F.struct("number", "key")).alias("asked")))
+    joined = docs.join(small_side(by_doc), (F.col("id") == F.col("of")) & (F.col("version") == F.col("of_version"))).select("text", "asked")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_keys, out_words = [], []
-            for run in runs(pc.utf8_lower(batch.column(0))):
-                owner, number, keys, _ = lines_of(run, min_words)
-                starts, ends, _ = run.lines()
-                first = np.searchsorted(run.lines()[2], np.arange(len(run)))
-                data = _DIGITS[run.data].tobytes()
-                asked = [set(k.as_py()) for k in batch.column(1).slice(run.first, len(run))]
-                for text, line, key in zip(owner.tolist(), number.tolist(), keys.view(np.int64).tolist()):
-                    if key in asked[text]:
-                        at = first[text] + line
-                        out_keys.append(key)
-                        out_words.append(b" ".join(data[starts[at] : ends[at]].translate(_TO_SPACE).split()).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([pa.array(out_keys, pa.int64()), pa.array(out_words, pa.string())], ["key", "words"])
-
+            keys, words = [], []
+            for text, asked in zip(pc.utf8_lower(batch.column(0)), batch.column(1)):
+                lines = text.as_py().split("\n")
+                for one in asked.as_py():
+                    raw = lines[one["number"]].encode().translate(_DIGITS.tobytes())
+                    keys.append(one["key"])
+                    words.append(b" ".join(raw.translate(_TO_SPACE).split()).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.string())], ["key", "words"])
+
+    # A repeated row of a document gives its lines again.
     return joined.mapInArrow(emit, "key long, words string").dropDuplicates(["key"])
 
 
-_TO_SPACE = bytes(0x20 if PUNCT[b] else b for b in range(256))
+def _common_start(x: str, y: str) -> int:
+    """How many characters both begin with."""
+    low, high = 0, min(len(x), len(y))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if x[low:middle] == y[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
 
 
-def _within(most: str) -> Column:
-    """Whether the distance of x and y is at most that. Its cost grows with the bound, so small bounds are tried first."""
-    steps = [F.expr(f"levenshtein(x, y, least({most}, {bound})) >= 0") for bound in (12, 48)]
-    return F.when(steps[0], True).when(F.expr(f"{most} <= 12"), False).when(steps[1], True).when(F.expr(f"{most} <= 48"), False).otherwise(F.expr(f"levenshtein(x, y, {most}) >= 0"))
+#: How many words of either side are skipped to get in step again, fewest first.
+_STEPS = sorted(((p, q) for p in range(5) for q in range(5) if p or q), key=lambda s: (s[0] + s[1], abs(s[0] - s[1])))
 
 
-def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, similarity: float, bits: int) -> DataFrame:
-    """(id, number, key) of the line occurrences that go."""
-    texts = docs.where(docs[id_col].isNotNull() & (docs[text_col] != "")).select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+def _edits_by_words(a: list[str], b: list[str], most: int) -> int:
+    """A number that the edit distance of two texts, given by their words, doesn't exceed; it is no longer exact once over ``most``.
+
+    Unequal words are gone past until words are equal again; what was skipped
+    is replaced as a whole.
+    """
+    i = j = cost = 0
+    n, m = len(a), len(b)
+    while i < n and j < m:
+        if a[i] == b[j]:
+            i, j = i + 1, j + 1
+            continue
+        for p, q in _STEPS:
+            if i + p < n and j + q < m and a[i + p] == b[j + q]:
+                break
+        else:
+            p = q = 1
+        cost += max(sum(map(len, a[i : i + p])) + p, sum(map(len, b[j : j + q])) + q)
+        if cost > most:
+            return cost
+        i, j = i + p, j + q
+    return cost + max(sum(map(len, a[i:])) + n - i, sum(map(len, b[j:])) + m - j)
+
+
+def _pair_within(x: str, y: str, most: int) -> bool:
+    """Whether the edit distance of two strings, x not longer than y, is at most that: as ``_chunk_within``, with one long number for a column."""
+    where: dict[str, int] = {}
+    for k, c in enumerate(x):
+        where[c] = where.get(c, 0) | 1 << k
+    n, left = len(x), len(y)
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    up, down, distance = full, 0, n
+    for c in y:
+        match = where.get(c, 0)
+        across = (((match & up) + up) ^ up) | match | down
+        more, less = down | (full & ~(across | up)), up & across
+        distance += 1 if more & top else -1 if less & top else 0
+        left -= 1
+        if distance - left > most:
+            return False
+        more = more << 1 | 1
+        up, down = (less << 1 | ~(across | more)) & full, more & across & full
+    return distance <= most
+
+
+def _chunk_within(x: list[str], y: list[str], most: np.ndarray) -> np.ndarray:
+    """Whether each pair's edit distance is at most that; x not longer than y, and all x of as many 64-bit words.
+
+    The bits of a pair's words are the differences down a column of its distance
+    table, as Myers has them; all pairs move on by a column at a time, and those
+    that can't come back under their bound are left out now and then.
+    """
+    n, m = np.array([len(v) for v in x]), np.array([len(v) for v in y])
+    blocks, rows = -(-int(n[0]) // 64), np.arange(len(x))
+    letters, code = np.unique(np.frombuffer("".join([*x, *y]).encode("utf-32-le"), np.uint32), return_inverse=True)
+    x_at, y_at = np.cumsum(n) - n, n.sum() + np.cumsum(m) - m
+    match = np.zeros((blocks, len(x), len(letters) + 1), np.uint64)
+    for k in range(int(n.max())):
+        own = rows[n > k]
+        match[k // 64, own, code[x_at[own] + k]] |= np.uint64(1 << (k % 64))
+    one, last = np.uint64(1), ((n - 1) % 64).astype(np.uint64)
+    up, down, distance = np.full((blocks, len(x)), ~np.uint64(0)), np.zeros((blocks, len(x)), np.uint64), n.copy()
+    within, alive = np.zeros(len(x), bool), rows
+    for j in range(int(m.max())):
+        column = code[y_at + j]
+        plus, minus = np.ones(len(alive), np.uint64), np.zeros(len(alive), np.uint64)
+        for block in range(blocks):
+            equal, pv, mv = match[block, alive, column], up[block], down[block]
+            wide = equal | mv
+            equal = equal | minus
+            across = (((equal & pv) + pv) ^ pv) | equal
+            more, less = mv | ~(across | pv), pv & across
+            top = last if block == blocks - 1 else np.uint64(63)
+            next_plus, next_minus = (more >> top) & one, (less >> top) & one
+            more, less = (more << one) | plus, (less << one) | minus
+            up[block], down[block] = less | ~(wide | more), more & wide
+            plus, minus = next_plus, next_minus
+        distance = distance + plus.astype(np.int64) - minus.astype(np.int64)
+        ended = m == j + 1
+        if ended.any():
+            within[alive[ended & (distance <= most)]] = True
+        if ended.any() or j % 16 == 15:
+            # The last cell can fall by one for each character left.
+            keep = ~ended & (distance - (m - j - 1) <= most)
+            if not keep.any():
+                break
+            if not keep.all():
+                alive, m, most, distance, y_at, last = alive[keep], m[keep], most[keep], distance[keep], y_at[keep], last[keep]
+                up, down = up[:, keep], down[:, keep]
+    return within
+
+
+#: Bytes of bit tables that pairs measured together take at most, for alphabets of some hundred letters; pairs for each word of their columns from which that pays.
+_CHUNK_BYTES, _CHUNK_PAIRS = 8 << 20, 12
+
+
+def edits_within(x: list[str], y: list[str], similarity: float) -> np.ndarray:
+    """For pairs of strings, whether 1 - edit distance / longer length is ``similarity`` or more."""
+    found, hard = np.zeros(len(x), bool), []
+    for k, (a, b) in enumerate(zip(x, y)):
+        most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
+        if abs(len(a) - len(b)) > most:
+            continue
+        start = _common_start(a, b)
+        a, b = a[start:], b[start:]
+        end = _common_start(a[::-1], b[::-1])
+        a, b = a[: len(a) - end], b[: len(b) - end]
+        if max(len(a), len(b)) <= most or most and _edits_by_words(a.split(" "), b.split(" "), most) <= most:
+            found[k] = True
+        elif most and a and b:
+            hard.append((-(-min(len(a), len(b)) // 64), max(len(a), len(b)), k, most, *((a, b) if len(a) <= len(b) else (b, a))))
+    hard.sort(key=lambda h: h[:3])
+    start = 0
+    while start < len(hard):
+        blocks = hard[start][0]
+        chunk = [h for h in hard[start : start + max(1, _CHUNK_BYTES // (blocks * 1024))] if h[0] == blocks]
+        x, y, most = [h[4] for h in chunk], [h[5] for h in chunk], [h[3] for h in chunk]
+        if len(chunk) < _CHUNK_PAIRS * blocks or len(set().union(*x, *y)) > 512:
+            within = [_pair_within(*pair) for pair in zip(x, y, most)]
+        else:
+            within = _chunk_within(x, y, np.array(most))
+        found[[h[2] for h in chunk]] = within
+        start += len(chunk)
+    return found
+
+
+def _place(seen: DataFrame) -> Column:
+    """Document id and line number as one number that orders by both: a long where the ids leave room for the lines."""
+    r = seen.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("number").alias("lines")).first()
+    lines = (r.lines or 0) + 1
+    if r.low is None or max(abs(r.low), abs(r.high)) + 1 < (1 << 62) // lines:
+        return F.col("id") * F.lit(lines) + F.col("number")
+    return (F.col("id").cast("decimal(20,0)") * F.lit(lines).cast("decimal(11,0)") + F.col("number").cast("decimal(11,0)")).cast("decimal(33,0)")
+
+
+def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, similarity: float) -> DataFrame:
+    """(id, version, number) of the line occurrences that go; version is a hash of the document's text."""
+    texts = docs.where(docs[id_col].isNotNull() & (docs[text_col] != "")).select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).select("id", F.xxhash64("text").alias("version"), "text")
     seen = written(_occurrences(texts, min_words), "lines")
-    distinct = written(seen.groupBy("key").agg(F.min(F.struct("id", "number")).alias("first"), F.first("sim").alias("sim"), (F.max(F.struct("id", "number")) > F.min(F.struct("id", "number"))).alias("again")), "distinct")
-
-    buckets = distinct.select("key", "sim", F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("sim").bitwiseAND(mask if mask < 1 << 63 else mask - (1 << 64))) for t, mask in enumerate(MASKS)])).alias("bucket"))
-    sorted_rows = buckets.select("bucket", "key", "sim").repartition("bucket").sortWithinPartitions("bucket", "key")
-    pairs = settled(sorted_rows.mapInArrow(lambda rows: _bucket_pairs(rows, bits), "a long, b long").distinct())
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = distinct.join(wanted, "key", "left_semi").select(F.col("first.id").alias("id"), F.col("first.number").alias("number"), "key")
-    words = written(_line_texts(texts, wanted, min_words), "words")
-    x, y = words.select(F.col("key").alias("a"), F.col("words").alias("x")), words.select(F.col("key").alias("b"), F.col("words").alias("y"))
-    longest = F.greatest(F.char_length("x"), F.char_length("y"))
-    verified = pairs.join(x, "a").join(y, "b").withColumn("most", F.floor((1 - similarity) * longest + 1e-9).cast("int")).where(_within("most")).select("a", "b")
-    groups = connected_groups(verified)
-
-    # The first occurrence of each group; groups of one line matter where it occurs again.
-    grouped = distinct.join(groups.withColumnRenamed("id", "key"), "key", "left").select("key", "first", "again", F.coalesce("root", "key").alias("root"), F.col("root").isNotNull().alias("linked"))
-    # A root has no row in groups of its own, so it is found by its group's rows.
-    crowded = groups.select(F.col("root").alias("key")).distinct().select("key", F.lit(True).alias("leads"))
-    grouped = settled(grouped.join(crowded, "key", "left").where("again or linked or leads").select("key", "first", "root"))
-    keep = grouped.groupBy("root").agg(F.min("first").alias("kept"))
-    keep = settled(grouped.join(keep, "root").select(F.col("key").alias("of"), F.col("kept.id").alias("kept_id"), F.col("kept.number").alias("kept_number")))
-    at = seen.join(small_side(keep), F.col("key") == F.col("of"))
-    return at.where((F.col("id") != F.col("kept_id")) | (F.col("number") != F.col("kept_number"))).select("id", "number", "key").distinct()
-
-
-def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY, bits: int = BITS, count_col: str | None = None
-) -> DataFrame:
-    """The rows of ``docs`` with repeated lines taken out of ``text_col``; ``count_col``, if given, is added with the number of lines taken out.
-
-    - Lines are \\n-split. Those of fewer than ``min_words`` normalised words
-      always stay. Lines with equal normalised words are repeats; others when
-      linked, maybe through others, by SimHashes at most ``bits`` bits apart
-      and an edit similarity (1 - distance / longer length) of ``similarity``.
+    places = seen.select("key", "id", "version", "number", "check", _place(seen).alias("place"))
+    by_place = [F.min_by(c, "place").alias(c) for c in ("id", "number", "version")]
+    firsts = places.groupBy("key").agg(F.min("place").alias("first"), F.max("place").alias("last"), *by_place, F.min("check").alias("low"), F.max("check").alias("high"))
+    firsts = written(firsts.select("key", "first", "id", "number", "version", (F.col("first") < F.col("last")).alias("again"), (F.col("low") < F.col("high")).alias("clash")), "firsts")
+
+    met = seen.select(F.explode("meets").alias("meet"), "key", "size")
+    crowded = settled(met.groupBy("meet").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select(F.col("meet").alias("crowded")))
+    members = met.join(small_side(crowded), F.col("meet") == F.col("crowded")).select(F.col("meet").alias("key"), F.col("key").alias("id"), "size")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
+    words: list[DataFrame] = []
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        for known in words:
+            wanted = wanted.join(known, "key", "left_anti")
+        wanted = settled(wanted)
+        if not words or not wanted.isEmpty():
+            words.append(written(_line_texts(texts, firsts.join(small_side(wanted), "key").select("id", "version", "number", "key")), "words"))
+        known = words[0]
+        for more in words[1:]:
+            known = known.union(more)
+
+        def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.select([0, 1]).filter(pa.array(edits_within(batch.column(2).to_pylist(), batch.column(3).to_pylist(), similarity)))
+
+        x, y = known.select(F.col("key").alias("a"), F.col("words").alias("x")), known.select(F.col("key").alias("b"), F.col("words").alias("y"))
+        return pairs.repartition(tasks).join(small_side(x), "a").join(small_side(y), "b").select("a", "b", "x", "y").mapInArrow(hold, "a long, b long")
+
+    groups = settled(connected_groups(verified_links(members, verify, similarity)))
+    # A root has no row in groups, so it is found by its group's rows.
+    linked = settled(groups.select(F.col("id").alias("key"), "root").union(groups.select(F.col("root").alias("key"), "root").distinct()))
+
+    # Keys that occur again or are linked.
+    some = firsts.join(small_side(linked), "key", "left").where("again or root is not null").select("key", "first", F.coalesce("root", "key").alias("root"), F.col("root").isNotNull().alias("linked"), "clash")
+    some = settled(some)
+    kept = settled(some.where("linked").groupBy("root").agg(F.min("first").alias("kept")))
+    keep = settled(some.join(small_side(kept), "root", "left").select(F.col("key").alias("of"), "first", F.coalesce("kept", "first").alias("kept"), "clash"))
+    at = places.join(small_side(keep), F.col("key") == F.col("of"))
+    if not keep.where("clash").isEmpty():
+        # Equal keys whose second hashes differ are different lines: only those equal to the first are dealt with.
+        right = at.where("clash and place = first").groupBy("key").agg(F.min("check").alias("right")).withColumnRenamed("key", "clashing")
+        at = at.join(small_side(settled(right)), F.col("key") == F.col("clashing"), "left").where("right is null or right = check")
+    return at.where(F.col("place") != F.col("kept")).select("id", "version", "number")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY, count_col: str | None = None) -> DataFrame:
+    """The rows of ``docs`` with repeated lines taken out of ``text_col``; ``count_col``, if given, is added with the number of lines taken out, in place of a column of that name.
+
+    - Lines are \\n-split. Lines with equal normalised words are repeats; lines
+      of fewer than ``min_words`` words only if their digits are equal, too.
+      Lines without a word always stay.
+    - Lines of ``min_words`` words or more are also linked, maybe through others,
+      when they meet in a block of their SimHashes and have an edit similarity
+      (1 - distance / longer length) of ``similarity``.
     - Of each group the occurrence with the least (id, line number) stays.
     - Null text stays null; an empty text stays empty. A text that loses all
       its lines becomes empty; its row stays.
@@ -215,32 +414,27 @@ def dedup_lines(
     - All columns come out as they went in, whatever their names. An empty
       table gives an empty table. Ids must be integers.
     """
-    gone = repeated_lines(docs, id_col, text_col, min_words, similarity, bits)
-    by_doc = settled(gone.groupBy(F.col("id").alias("_objsql_id")).agg(F.collect_list(F.struct("number", "key")).alias("_objsql_gone")))
-    joined = docs.join(small_side(by_doc), docs[id_col].cast("long") == F.col("_objsql_id"), "left").drop("_objsql_id")
-    names = docs.columns
+    gone = repeated_lines(docs, id_col, text_col, min_words, similarity)
+    by_doc = settled(gone.groupBy(F.col("id").alias("_objsql_id"), F.col("version").alias("_objsql_version")).agg(F.collect_set("number").alias("_objsql_gone")))
+    names = [c for c in docs.columns if c != count_col]
+    docs = docs.select(*names)
+    here = (docs[id_col].cast("long") == F.col("_objsql_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_objsql_version"))
+    joined = docs.join(small_side(by_doc), here, "left").drop("_objsql_id", "_objsql_version")
     place = names.index(text_col)
 
     def take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, gone = batch.column(place), batch.column(len(names))
-            new, counts = text.to_pylist(), np.zeros(len(batch), np.int64)
-            touched = np.flatnonzero(pc.is_valid(gone).to_numpy(zero_copy_only=False))
-            part = text.take(pa.array(touched))
-            for run in runs(pc.utf8_lower(part)):
-                owner, number, keys, _ = lines_of(run, min_words)
-                places: dict[int, set[int]] = {}
-                asked = {}
-                for t, line, key in zip(owner.tolist(), number.tolist(), keys.view(np.int64).tolist()):
-                    row = int(touched[run.first + t])
-                    if row not in asked:
-                        asked[row] = {(g["number"], g["key"]) for g in gone[row].as_py()}
-                    if (line, key) in asked[row]:
-                        places.setdefault(row, set()).add(line)
-                for row, out in places.items():
-                    new[row] = "\n".join(line for n, line in enumerate(new[row].split("\n")) if n not in out)
+            gone, counts = batch.column(len(names)), np.zeros(len(batch), np.int64)
+            columns = list(batch.columns[: len(names)])
+            touched = pc.is_valid(gone)
+            if pc.any(touched).as_py():
+                new = []
+                rows = np.flatnonzero(touched.to_numpy(zero_copy_only=False))
+                for row in rows.tolist():
+                    out = set(gone[row].as_py())
+                    new.append("\n".join(line for n, line in enumerate(columns[place][row].as_py().split("\n")) if n not in out))
                     counts[row] = len(out)
-            columns = [pa.array(new, batch.schema.field(place).type) if k == place else batch.column(k) for k in range(len(names))]
+                columns[place] = pc.replace_with_mask(columns[place], touched, pa.array(new, columns[place].type))
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts)] if count_col else columns, [*names, count_col] if count_col else names)
 
     schema = StructType([*docs.schema.fields, *([StructField(count_col, LongType())] if count_col else [])])

@@ -9,10 +9,12 @@ Only shingles at or over ``COMMON`` need a number, and of these there are at
 most (mean shingles of a document) / COMMON, however large the corpus; their
 counts are exact.
 
-Equal texts are one node. Distinct texts are sampled (64 samples in bands of
-4), members of a band's bucket are compared with representatives, candidates
+Texts of equal words, by two hashes, are one node. Distinct texts are sampled
+(64 samples in bands of 4), members of a band's bucket are compared, candidates
 are verified by the weighted Jaccard similarity of their whole sets, and
-connected groups get one class.
+connected groups get one class. Crowded buckets of texts that aren't alike, as
+those that share a passage, are dealt by prefixes: sets that are alike have one
+of the rarest shingles of either in common.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from objsql.llm.common import settled, small_side, written
@@ -179,7 +181,7 @@ class WeightedSampler:
 
 
 def _sketches(docs: DataFrame, idf: Idf, width: int, bands: int, rows: int) -> DataFrame:
-    """id, content (hash of the words; null: none) and one key per band."""
+    """id, content and check (hashes of the words; content null: none), size (weight of the whole set) and one key per band."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = WeightedSampler(bands * rows)
@@ -189,20 +191,23 @@ def _sketches(docs: DataFrame, idf: Idf, width: int, bands: int, rows: int) -> D
                 own, grams, counts, content = shingles(run, width)
                 begins = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
                 keys = np.zeros((len(run), bands), np.uint64)
+                weights = idf(grams, counts)
+                size = np.bincount(own, weights, len(run)).astype(np.float64)
+                check = np.zeros(len(run), np.uint64)
                 if len(own):
-                    codes = sampler.sample(grams, idf(grams, counts), begins)
+                    check[own[begins]] = np.add.reduceat(mix(grams) * counts.astype(np.uint64), begins) >> np.uint64(32)
+                    codes = sampler.sample(grams, weights, begins)
                     for band in range(bands):
                         key = np.full(len(begins), band + 1, np.uint64)
                         for column in codes.T[band * rows : (band + 1) * rows]:
                             key = mix(key * np.uint64(0x100000001B3) + column)
                         keys[own[begins], band] = key
-                flat = pa.array(keys.ravel().view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(start, len(run)), pa.array(content.view(np.int64), mask=content == 0), pa.ListArray.from_arrays(pa.array(np.arange(len(run) + 1, dtype=np.int32) * bands), flat)], ["id", "content", "bands"]
-                )
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(run) + 1, dtype=np.int32) * bands), pa.array(keys.ravel().view(np.int64)))
+                columns = [ids.slice(start, len(run)), pa.array(content.view(np.int64), mask=content == 0), pa.array(check.astype(np.uint32).view(np.int32)), pa.array(size), flat]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "content", "check", "size", "bands"])
                 start += len(run)
 
-    return docs.mapInArrow(sketch, "id long, content long, bands array<long>")
+    return docs.mapInArrow(sketch, "id long, content long, check int, size double, bands array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -234,6 +239,38 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(shared / union) if union else 0.0
 
 
+def _shingle_rows(sets: DataFrame, idf: Idf) -> DataFrame:
+    """(id, gram, weight) of packed sets."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for id_, grams, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                grams = np.frombuffer(grams.as_buffer(), np.uint64)
+                weight = idf(grams, np.frombuffer(counts.as_buffer(), np.uint32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), id_, np.int64)), pa.array(grams.view(np.int64)), pa.array(weight)], ["id", "gram", "weight"])
+
+    return sets.select("id", "grams", "counts").mapInArrow(unpack, "id long, gram long, weight double")
+
+
+def prefix_pairs(apart: DataFrame, every: DataFrame, shingle_rows: DataFrame, similarity: float) -> DataFrame:
+    """(key, id, other) for all members of a bucket that may be alike, id from ``apart``, other from ``every``, both (key, id, size, own).
+
+    Two sets of a weighted Jaccard similarity s share a weight of s times either
+    size at least. In any order of the shingles the first one shared therefore
+    lies where at most (1 - s) of the set's weight is before it, in both sets.
+    With the bucket's rare shingles first, few sets share such a prefix.
+    """
+    rows = every.join(shingle_rows, "id")
+    often = rows.groupBy("key", "gram").agg(F.count(F.lit(1)).alias("df"))
+    before = F.coalesce(F.sum("weight").over(Window.partitionBy("key", "id").orderBy("df", "gram").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    prefix = rows.join(often, ["key", "gram"]).withColumn("before", before).where((F.col("df") > 1) & (F.col("before") <= (1 - similarity) * F.col("size") + 1e-6))
+    prefix = settled(prefix.select("key", "gram", "id", "size", "own"))
+    other = prefix.select("key", "gram", F.col("id").alias("other"), F.col("size").alias("its_size"), F.col("own").alias("its"))
+    mine = prefix.join(apart.select("key", "id"), ["key", "id"], "left_semi")
+    met = mine.join(other, ["key", "gram"]).where(F.col("own") != F.col("its"))
+    return met.where(F.least("size", "its_size") >= similarity * F.greatest("size", "its_size") - 1e-6).select("key", "id", "other").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, common: float = COMMON, floor: float = FLOOR
 ) -> DataFrame:
@@ -256,10 +293,11 @@ def near_duplicates(
     sketches = written(_sketches(texts, idf, width, bands, rows).where("content is not null"), "sketches")
 
     # Texts with equal words have equal sketches; the least id stands for them.
-    heads = written(sketches.groupBy("content").agg(F.min("id").alias("head"), F.first("bands").alias("bands")), "heads")
-    members = heads.select(F.col("head").alias("id"), F.explode("bands").alias("key"))
-    crowded = members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key")
-    members = settled(members.join(crowded, "key").select("key", "id"))
+    same = ["content", "check"]
+    heads = written(sketches.groupBy(*same).agg(F.min("id").alias("head"), F.max("size").alias("size"), F.first("bands").alias("bands")), "heads")
+    members = heads.select(F.col("head").alias("id"), "size", F.explode("bands").alias("key"))
+    crowded = settled(members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key"))
+    members = settled(members.join(small_side(crowded), "key").select("key", "id", "size"))
     wanted = settled(members.select("id").distinct())
     sets = _sets(texts.join(small_side(wanted), "id", "left_semi"), width)
     # Of an id with several texts, the text that it stands for.
@@ -282,10 +320,10 @@ def near_duplicates(
 
         return pairs.join(b, "b").join(a, "a").select("a", "b", "a_grams", "a_counts", "b_grams", "b_counts").mapInArrow(hold, "a long, b long")
 
-    links = verified_links(members, verify)
+    links = verified_links(members, verify, similarity - 1e-6, lambda apart, every: prefix_pairs(apart, every, _shingle_rows(sets.join(small_side(settled(every.select("id").distinct())), "id", "left_semi"), idf), similarity))
     # An id with several texts links their heads.
     repeated = sketches.groupBy("id").agg(F.min("content").alias("x"), F.max("content").alias("y")).where("x <> y").select("id")
-    own = sketches.join(heads.select("content", "head"), "content").select("id", "head")
+    own = sketches.select("id", *same).join(heads.select(*same, "head"), same).select("id", "head")
     links = links.union(own.join(repeated, "id").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")))
     groups = connected_groups(links)
     classed = own.join(groups.withColumnRenamed("id", "head"), "head", "left").select("id", F.coalesce("root", "head").alias("class"))

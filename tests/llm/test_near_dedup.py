@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from objsql.llm.grouping import connected_groups
-from objsql.llm.near_dedup import COMMON, FLOOR, WeightedSampler, drop_near_duplicates, near_duplicates
+from objsql.llm import grouping
+from objsql.llm.near_dedup import COMMON, FLOOR, WeightedSampler, drop_near_duplicates, near_duplicates, prefix_pairs
 
 
 def sets_of(rows, width=5):
@@ -93,8 +94,45 @@ def test_large_group_of_variants(spark):
     assert all(got[i] == 0 for i in range(300)) and all(got[1000 + i] == 1000 + i for i in range(200))
 
 
+@pytest.mark.parametrize("direct", [0, grouping.DIRECT])
+def test_pairs_that_share_a_passage_with_many(spark, monkeypatch, direct):
+    """Texts that share a passage meet in crowded buckets; pairs alike beyond it must be found, others left alone."""
+    monkeypatch.setattr(grouping, "DIRECT", direct)
+    g = np.random.Generator(np.random.PCG64(8))
+    passage = [f"p{k}" for k in range(150)]
+    rows = []
+    for k in range(120):
+        own = [f"t{k // 2}_{j}" for j in range(int(g.integers(28, 45)))] if k % 2 == 0 else rows[-1][1].split()[150:-4] + [f"x{k}_{j}" for j in range(4)]
+        rows.append((k, " ".join(passage + own)))
+    # All shingles weigh one.
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), floor=1.0).collect()}
+    sets = sets_of(rows)
+    alike = [(a, b) for a in sets for b in sets if a > b and sum((sets[a] & sets[b]).values()) >= 0.8 * sum((sets[a] | sets[b]).values())]
+    want = roots(sets, alike)
+    found = sum(got[a] == got[b] for a, b in alike)
+    assert len({want[k] for k in sets}) > 30 and found >= 0.97 * len(alike)
+    assert all(want[k] == want[got[k]] for k in sets)
+
+
 @pytest.mark.parametrize("links", [[], [(2, 1)], [(k + 1, k) for k in range(40)], [(k, 0) for k in range(1, 50)] + [(100, 99), (99, 98), (100, 101)], [(5, 3), (3, 5), (7, 5), (9, 8), (8, 8)]])
 def test_connected_groups(spark, links):
     got = {r.id: r.root for r in connected_groups(spark.createDataFrame(links, "a long, b long")).collect()}
     want = roots({x for p in links for x in p}, links)
     assert got == {n: r for n, r in want.items() if n != r}
+
+
+def test_prefixes_lose_no_pair(spark):
+    g = np.random.Generator(np.random.PCG64(9))
+    sets = {k: {int(x): float(g.choice([0.5, 1.0, 3.0])) for x in g.choice(40, int(g.integers(15, 25)), replace=False)} for k in range(60)}
+    for k in range(60, 80):
+        sets[k] = dict(list(sets[k - 60].items())[1:])
+    rows = spark.createDataFrame([(k, x, w) for k, s in sets.items() for x, w in s.items()], "id long, gram long, weight double")
+    every = spark.createDataFrame([(1, k, sum(s.values()), k) for k, s in sets.items()], "key long, id long, size double, own long")
+    apart = every.where("id % 3 > 0")
+    got = {(r.id, r.other) for r in prefix_pairs(apart, every, rows, 0.8).collect()}
+    for a in sets:
+        for b in sets:
+            shared = sum(min(w, sets[b].get(x, 0)) for x, w in sets[a].items())
+            if a != b and a % 3 and shared >= 0.8 * (sum(sets[a].values()) + sum(sets[b].values()) - shared):
+                assert (a, b) in got
+    assert len(got) < 60 * 79
