@@ -43,13 +43,23 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows read back from Parquet in the shared folder."""
+def written(df: DataFrame, name: str, kept: list[str] | None = None) -> DataFrame:
+    """The same rows read back from Parquet in the shared folder; the path is added to ``kept``, for ``discard``."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    if kept is not None:
+        kept.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables written for steps that are over, and empties the list."""
+    for path in paths:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    paths.clear()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from objsql.llm.common import settled, small_side, written
+from objsql.llm.common import discard, settled, small_side, written
 
 #: Buckets of up to so many members have all their pairs compared at once; rounds of representatives in larger ones.
 SMALL, STARS = 8, 2
@@ -40,62 +40,66 @@ def verified_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
     all members, both (key, id, size, own), may return fewer pairs (key, id, other)
     without losing a link.
     """
-    members = settled(members.distinct())
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = settled(members.join(sizes, "key"))
+    spark, scratch = members.sparkSession, []
+
+    def keep(df: DataFrame) -> DataFrame:
+        return written(df, "links", scratch)
+
+    members = keep(members.distinct())
+    sizes = keep(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    members = keep(members.join(small_side(sizes), "key"))
     links, checked = [], []
 
     def compare(pairs: DataFrame) -> None:
         pairs = pairs.where("id <> other").select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
         for done in checked:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = settled(pairs)
-        checked.append(pairs)
-        links.append(settled(verify(pairs)))
+        checked.append(keep(pairs))
+        links.append(settled(verify(checked[-1])))
 
     def like(x: str, y: str) -> Column:
         return F.least(x, y) >= ratio * F.greatest(x, y)
 
-    def grouped() -> DataFrame:
-        found = links[0]
-        for more in links[1:]:
-            found = found.union(more)
-        return settled(connected_groups(found))
-
     little = members.where(F.col("n") <= SMALL)
     large = members.where(F.col("n") > SMALL)
     every = little.select("key", "id", "size").join(little.select("key", F.col("id").alias("other"), F.col("size").alias("its_size")), "key").where("id > other").where(like("size", "its_size")).select("id", "other")
     if large.isEmpty():
         compare(every)
+        discard(spark, scratch)
         return links[0]
-    degrees = large.groupBy("id").agg(F.sum("n").alias("degree"))
-    large = settled(large.join(degrees, "id"))
+    degrees = keep(large.groupBy("id").agg(F.sum("n").alias("degree")))
+    large = keep(large.join(small_side(degrees), "id"))
     order = F.struct("degree", F.xxhash64("id"))
     own = apart = large.withColumn("own", F.col("id"))
+    groups = None
     for number in range(STARS):
         reps = apart.groupBy("key").agg(F.max_by(F.struct("id", "size", "own"), order).alias("rep"))
-        reps = settled(reps.select("key", F.col("rep.id").alias("other"), F.col("rep.size").alias("its_size"), F.col("rep.own").alias("its")))
+        reps = keep(reps.select("key", F.col("rep.id").alias("other"), F.col("rep.size").alias("its_size"), F.col("rep.own").alias("its")))
         star = own.join(small_side(reps), "key").where(F.col("own") != F.col("its")).where(like("size", "its_size")).select("id", "other")
         compare(star if number else star.union(every))
-        groups = small_side(grouped())
-        own = settled(large.join(groups.withColumnRenamed("root", "own"), "id", "left").withColumn("own", F.coalesce("own", "id")))
+        # What was connected before is a star already.
+        found = links[-1] if groups is None else links[-1].union(groups.select(F.col("id").alias("a"), F.col("root").alias("b")))
+        groups = keep(connected_groups(found))
+        named = large.join(small_side(groups.withColumnRenamed("root", "own")), "id", "left").withColumn("own", F.coalesce("own", "id"))
+        own = keep(named)
         # The largest group of a bucket; what is outside it is still to be compared.
-        first = own.groupBy("key", "own").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("own", F.struct("m", "own")).alias("most"))
-        apart = settled(own.join(small_side(settled(first)), "key").where(F.col("own") != F.col("most")).drop("most"))
+        first = keep(own.groupBy("key", "own").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("own", F.struct("m", "own")).alias("most")))
+        apart = keep(own.join(small_side(first), "key").where(F.col("own") != F.col("most")).drop("most"))
         if apart.isEmpty():
             break
     else:
-        counts = apart.groupBy("key").agg((F.count(F.lit(1)) * F.max("n")).alias("cost"))
-        counts = settled(counts)
+        counts = keep(apart.groupBy("key").agg((F.count(F.lit(1)) * F.max("n")).alias("cost")))
         direct = apart.join(small_side(counts.where(F.col("cost") <= DIRECT)), "key", "left_semi") if finer else apart
         # Members are dealt to tasks; each task sees all that is apart.
         left = direct.select("key", "id", "size", "own", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        right = own.select("key", F.col("id").alias("other"), F.col("size").alias("its_size"), F.col("own").alias("its"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+        right = own.join(small_side(counts.select("key")), "key", "left_semi")
+        right = right.select("key", F.col("id").alias("other"), F.col("size").alias("its_size"), F.col("own").alias("its"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
         rest = left.join(right, ["key", "salt"]).where(F.col("own") != F.col("its")).where(like("size", "its_size")).select("id", "other")
         if finer:
             crowded = small_side(counts.where(F.col("cost") > DIRECT).select("key"))
             rest = rest.union(finer(apart.join(crowded, "key", "left_semi"), own.join(crowded, "key", "left_semi")).select("id", "other"))
         compare(rest)
+    discard(spark, scratch)
     found = links[0]
     for more in links[1:]:
         found = found.union(more)
@@ -111,19 +115,22 @@ def connected_groups(links: DataFrame) -> DataFrame:
     aggregation, so a group's root, which has all its nodes as neighbours, makes
     no hot key there; edges that are star-shaped already are left out of the joins.
     """
-    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    spark, old, new = links.sparkSession, [], []
+    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", old)
     before = None
     while True:
         # Small star: a node's smaller neighbours and itself point at the least of them.
         least = edges.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("x"))
-        several = small_side(settled(least.where("m <> x").select("u", "m")))
+        several = small_side(written(least.where("m <> x").select("u", "m"), "edges", old))
         moved = edges.join(several, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = written(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        small = written(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges", old)
         # Large star: a node's larger neighbours point at the least of its neighbourhood; only neighbours of nodes that have a smaller one move.
-        above = settled(small.groupBy("u").agg(F.min("v").alias("m")))
+        above = written(small.groupBy("u").agg(F.min("v").alias("m")), "edges", old)
         lower = small_side(above.select(F.col("u").alias("v"), "m"))
-        edges = written(small.join(lower, "v", "left").select("u", F.coalesce("m", "v").alias("v")).union(above.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        edges = written(small.join(lower, "v", "left").select("u", F.coalesce("m", "v").alias("v")).union(above.select("u", F.col("m").alias("v"))).distinct(), "edges", new)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        discard(spark, old)
+        old, new = new, old
         if state == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
         before = state
