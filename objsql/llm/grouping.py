@@ -19,11 +19,11 @@ from objsql.llm.common import discard, settled, small_side, written
 SMALL, STARS = 8, 2
 #: Tasks that the rest of a large bucket is dealt to.
 SALTS = 16
-#: Comparisons that the rest of a large bucket may need before it is dealt by ``finer``.
+#: Comparisons that the rest of a large bucket may need before it is left to ``blockwise``.
 DIRECT = 4096
 
 
-def verified_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: float, finer: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+def verified_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: float, blockwise: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """Links (a, b), a > b, that connect members (key, id, size) of a bucket just as all links between them would.
 
     ``verify`` gets candidate pairs (a, b) and returns those that hold, which
@@ -36,9 +36,9 @@ def verified_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
     groups can't both be in the representative's, so none of their links is
     lost. What is connected is never compared again, so a bucket of copies
     costs as much as it has members; one of many texts that are alike in the
-    key alone would cost its square, so ``finer``, given the members outside and
-    all members, both (key, id, size, own), may return fewer pairs (key, id, other)
-    without losing a link.
+    key alone costs the square of what is outside. Of large such buckets
+    ``blockwise``, if given, gets the members outside and all members, both (key,
+    id, size, own), and returns the links (a, b) between them, a > b.
     """
     spark, scratch = members.sparkSession, []
 
@@ -89,16 +89,17 @@ def verified_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
             break
     else:
         counts = keep(apart.groupBy("key").agg((F.count(F.lit(1)) * F.max("n")).alias("cost")))
-        direct = apart.join(small_side(counts.where(F.col("cost") <= DIRECT)), "key", "left_semi") if finer else apart
+        direct = apart.join(small_side(counts.where(F.col("cost") <= DIRECT)), "key", "left_semi") if blockwise else apart
         # Members are dealt to tasks; each task sees all that is apart.
         left = direct.select("key", "id", "size", "own", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         right = own.join(small_side(counts.select("key")), "key", "left_semi")
         right = right.select("key", F.col("id").alias("other"), F.col("size").alias("its_size"), F.col("own").alias("its"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
         rest = left.join(right, ["key", "salt"]).where(F.col("own") != F.col("its")).where(like("size", "its_size")).select("id", "other")
-        if finer:
-            crowded = small_side(counts.where(F.col("cost") > DIRECT).select("key"))
-            rest = rest.union(finer(apart.join(crowded, "key", "left_semi"), own.join(crowded, "key", "left_semi")).select("id", "other"))
         compare(rest)
+        crowded = counts.where(F.col("cost") > DIRECT).select("key")
+        if blockwise and not crowded.isEmpty():
+            crowded = small_side(crowded)
+            links.append(settled(blockwise(apart.join(crowded, "key", "left_semi"), own.join(crowded, "key", "left_semi"))))
     discard(spark, scratch)
     found = links[0]
     for more in links[1:]:

@@ -13,8 +13,7 @@ Texts of equal words, by two hashes, are one node. Distinct texts are sampled
 (64 samples in bands of 4), members of a band's bucket are compared, candidates
 are verified by the weighted Jaccard similarity of their whole sets, and
 connected groups get one class. Crowded buckets of texts that aren't alike, as
-those that share a passage, are dealt by prefixes: sets that are alike have one
-of the rarest shingles of either in common.
+those that share a passage, are compared block by block.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from objsql.llm.common import settled, small_side, written
@@ -239,36 +238,74 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(shared / union) if union else 0.0
 
 
-def _shingle_rows(sets: DataFrame, idf: Idf) -> DataFrame:
-    """(id, gram, weight) of packed sets."""
+#: Members, and bytes of their sets, that a block of a crowded bucket has, about.
+BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for id_, grams, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                grams = np.frombuffer(grams.as_buffer(), np.uint64)
-                weight = idf(grams, np.frombuffer(counts.as_buffer(), np.uint32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), id_, np.int64)), pa.array(grams.view(np.int64)), pa.array(weight)], ["id", "gram", "weight"])
 
-    return sets.select("id", "grams", "counts").mapInArrow(unpack, "id long, gram long, weight double")
+def _pairs_alike(rows: pa.Table, idf: Idf, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows (id, own, apart, block, grams, counts), one of them apart, of different ``own`` and, if there are two blocks, of different ones, that are alike.
 
+    A shingle that a text has n times is n features, so that what two texts
+    share is a product of 0/1 matrices, weighted; features of one row alone
+    are left out. What comes near is then compared exactly.
+    """
+    ids, own, apart, block = (rows.column(c).to_numpy() for c in ("id", "own", "apart", "block"))
+    sets = []
+    for grams, counts in zip(rows.column("grams").to_pylist(), rows.column("counts").to_pylist()):
+        grams = np.frombuffer(grams, np.uint64)
+        sets.append((grams, np.frombuffer(counts, np.uint32)))
+    counts = np.concatenate([c for _, c in sets]).astype(np.int64)
+    grams = np.repeat(np.concatenate([g for g, _ in sets]), counts)
+    nth = np.arange(len(grams)) - np.repeat(np.cumsum(counts) - counts, counts)
+    who = np.repeat(np.repeat(np.arange(len(sets)), [len(g) for g, _ in sets]), counts)
+    feature = mix(grams + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(feature, kind="stable")
+    feature, grams, who = feature[order], grams[order], who[order]
+    begins = np.flatnonzero(np.concatenate([[True], feature[1:] != feature[:-1]]))
+    number, often = np.cumsum(np.concatenate([[False], feature[1:] != feature[:-1]])), np.diff(np.append(begins, len(feature)))
+    column = np.cumsum(often > 1) - 1
+    shared = often[number] > 1
+    weight = idf(grams[begins][often > 1], np.ones((often > 1).sum()))
+    size = np.array([idf(g, c).sum() for g, c in sets])
+    mine = np.flatnonzero(apart)
+    row, column = who[shared], column[number[shared]]
+    both = np.zeros((len(mine), len(sets)), np.float32)
+    for start in range(0, len(weight), 4096):
+        within = slice(*np.searchsorted(column, [start, start + 4096]))
+        part = np.zeros((len(sets), min(4096, len(weight) - start)), np.float32)
+        part[row[within], column[within] - start] = 1
+        both += (part[mine] * weight[start : start + 4096].astype(np.float32)) @ part.T
+    union = size[mine][:, None] + size[None, :] - both
+    near = (both >= (similarity - 0.01) * union) & (own[mine][:, None] != own[None, :])
+    if block.min() != block.max():
+        near &= block[mine][:, None] != block[None, :]
+    x, y = np.nonzero(near)
+    x = mine[x]
+    weighed = {int(k): (sets[k][0], idf(*sets[k])) for k in np.unique(np.concatenate([x, y]))}
+    keep = np.array([weighted_jaccard(weighed[int(i)], weighed[int(j)]) >= similarity for i, j in zip(x, y)], bool)
+    return ids[x[keep]], ids[y[keep]]
+
+
+def crowded_links(apart: DataFrame, every: DataFrame, sets: DataFrame, idf: Idf, similarity: float) -> DataFrame:
+    """Links (a, b), a > b, between members of a bucket that are alike, one of them from ``apart``, of different ``own``; both (key, id, size, own).
+
+    A bucket's members are dealt to blocks, and each two blocks are compared as
+    a whole by a task, which gives the links alone. So a task holds two blocks
+    however large a bucket is, and no pair is written down that isn't a link.
+    """
+    packed = F.octet_length("grams") + F.octet_length("counts")
+    rows = every.select("key", "id", "own").join(apart.select("key", "id", F.lit(True).alias("apart")), ["key", "id"], "left").withColumn("apart", F.col("apart").isNotNull())
+    sized = settled(rows.join(small_side(settled(sets.select("id", packed.cast("long").alias("bytes")))), "id"))
+    blocks = sized.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = sized.join(small_side(settled(blocks)), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("key", "id", "own", "apart", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
 
-def prefix_pairs(apart: DataFrame, every: DataFrame, shingle_rows: DataFrame, similarity: float) -> DataFrame:
-    """(key, id, other) for all members of a bucket that may be alike, id from ``apart``, other from ``every``, both (key, id, size, own).
+    def compare(rows: pa.Table) -> pa.Table:
+        x, y = _pairs_alike(rows, idf, similarity) if pc.any(rows.column("apart")).as_py() else (np.zeros(0, np.int64),) * 2
+        return pa.table({"a": np.maximum(x, y), "b": np.minimum(x, y)})
 
-    Two sets of a weighted Jaccard similarity s share a weight of s times either
-    size at least. In any order of the shingles the first one shared therefore
-    lies where at most (1 - s) of the set's weight is before it, in both sets.
-    With the bucket's rare shingles first, few sets share such a prefix.
-    """
-    rows = every.join(shingle_rows, "id")
-    often = rows.groupBy("key", "gram").agg(F.count(F.lit(1)).alias("df"))
-    before = F.coalesce(F.sum("weight").over(Window.partitionBy("key", "id").orderBy("df", "gram").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    prefix = rows.join(often, ["key", "gram"]).withColumn("before", before).where((F.col("df") > 1) & (F.col("before") <= (1 - similarity) * F.col("size") + 1e-6))
-    prefix = settled(prefix.select("key", "gram", "id", "size", "own"))
-    other = prefix.select("key", "gram", F.col("id").alias("other"), F.col("size").alias("its_size"), F.col("own").alias("its"))
-    mine = prefix.join(apart.select("key", "id"), ["key", "id"], "left_semi")
-    met = mine.join(other, ["key", "gram"]).where(F.col("own") != F.col("its"))
-    return met.where(F.least("size", "its_size") >= similarity * F.greatest("size", "its_size") - 1e-6).select("key", "id", "other").distinct()
+    whole = dealt.join(small_side(sets.select("id", "grams", "counts")), "id")
+    return whole.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -296,8 +333,8 @@ def near_duplicates(
     same = ["content", "check"]
     heads = written(sketches.groupBy(*same).agg(F.min("id").alias("head"), F.max("size").alias("size"), F.first("bands").alias("bands")), "heads")
     members = heads.select(F.col("head").alias("id"), "size", F.explode("bands").alias("key"))
-    crowded = settled(members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key"))
-    members = settled(members.join(small_side(crowded), "key").select("key", "id", "size"))
+    met = settled(members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key"))
+    members = settled(members.join(small_side(met), "key").select("key", "id", "size"))
     wanted = settled(members.select("id").distinct())
     sets = _sets(texts.join(small_side(wanted), "id", "left_semi"), width)
     # Of an id with several texts, the text that it stands for.
@@ -320,7 +357,10 @@ def near_duplicates(
 
         return pairs.join(b, "b").join(a, "a").select("a", "b", "a_grams", "a_counts", "b_grams", "b_counts").mapInArrow(hold, "a long, b long")
 
-    links = verified_links(members, verify, similarity - 1e-6, lambda apart, every: prefix_pairs(apart, every, _shingle_rows(sets.join(small_side(settled(every.select("id").distinct())), "id", "left_semi"), idf), similarity))
+    def crowded(apart: DataFrame, every: DataFrame) -> DataFrame:
+        return crowded_links(apart, every, sets.join(small_side(settled(every.select("id").distinct())), "id", "left_semi"), idf, similarity)
+
+    links = verified_links(members, verify, similarity - 1e-6, crowded)
     # An id with several texts links their heads.
     repeated = sketches.groupBy("id").agg(F.min("content").alias("x"), F.max("content").alias("y")).where("x <> y").select("id")
     own = sketches.select("id", *same).join(heads.select(*same, "head"), same).select("id", "head")

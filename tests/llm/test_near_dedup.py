@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from objsql.llm.grouping import connected_groups
-from objsql.llm import grouping
-from objsql.llm.near_dedup import COMMON, FLOOR, WeightedSampler, drop_near_duplicates, near_duplicates, prefix_pairs
+from objsql.llm import grouping, near_dedup
+from objsql.llm.near_dedup import COMMON, FLOOR, Idf, WeightedSampler, crowded_links, drop_near_duplicates, near_duplicates
 
 
 def sets_of(rows, width=5):
@@ -121,18 +121,24 @@ def test_connected_groups(spark, links):
     assert got == {n: r for n, r in want.items() if n != r}
 
 
-def test_prefixes_lose_no_pair(spark):
+@pytest.mark.parametrize("block_rows", [7, 512])
+def test_blocks_lose_no_link(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", block_rows)
     g = np.random.Generator(np.random.PCG64(9))
-    sets = {k: {int(x): float(g.choice([0.5, 1.0, 3.0])) for x in g.choice(40, int(g.integers(15, 25)), replace=False)} for k in range(60)}
+    sets = {k: {int(x): int(g.choice([1, 1, 1, 4])) for x in g.choice(40, int(g.integers(15, 25)), replace=False)} for k in range(60)}
     for k in range(60, 80):
         sets[k] = dict(list(sets[k - 60].items())[1:])
-    rows = spark.createDataFrame([(k, x, w) for k, s in sets.items() for x, w in s.items()], "id long, gram long, weight double")
-    every = spark.createDataFrame([(1, k, sum(s.values()), k) for k, s in sets.items()], "key long, id long, size double, own long")
-    apart = every.where("id % 3 > 0")
-    got = {(r.id, r.other) for r in prefix_pairs(apart, every, rows, 0.8).collect()}
+    idf = Idf(np.arange(10, dtype=np.uint64), np.linspace(0.5, 0.95, 10))
+    weigh = {k: {x: c * (0.5 + 0.05 * x if x < 10 else 1) for x, c in s.items()} for k, s in sets.items()}
+    packed = [(k, np.array(sorted(s), np.uint64).tobytes(), np.array([s[x] for x in sorted(s)], np.uint32).tobytes()) for k, s in sets.items()]
+    rows = spark.createDataFrame(packed, "id long, grams binary, counts binary")
+    every = spark.createDataFrame([(1, k, float(sum(weigh[k].values())), k // 2 if k < 4 else k) for k in sets], "key long, id long, size double, own long")
+    got = sorted((r.a, r.b) for r in crowded_links(every.where("id % 3 > 0"), every, rows, idf, 0.8).collect())
+    own = {k: k // 2 if k < 4 else k for k in sets}
+    want = []
     for a in sets:
-        for b in sets:
-            shared = sum(min(w, sets[b].get(x, 0)) for x, w in sets[a].items())
-            if a != b and a % 3 and shared >= 0.8 * (sum(sets[a].values()) + sum(sets[b].values()) - shared):
-                assert (a, b) in got
-    assert len(got) < 60 * 79
+        for b in range(a):
+            shared = sum(min(w, weigh[b].get(x, 0)) for x, w in weigh[a].items())
+            if (a % 3 or b % 3) and own[a] != own[b] and shared >= 0.8 * (sum(weigh[a].values()) + sum(weigh[b].values()) - shared):
+                want.append((a, b))
+    assert got == sorted(want) and len(want) > 8
