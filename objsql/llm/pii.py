@@ -277,8 +277,7 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     pairs = pairs.groupBy("of", "span").agg(F.min_by("new", "alone").alias("new"), F.max("alone").alias("alone"))
     words = F.array_sort(F.collect_set(F.when(F.col("alone"), F.struct((-F.char_length("span")).alias("n"), "span"))))
     by_text = pairs.groupBy(F.col("of").alias("_objsql_of")).agg(F.map_from_entries(F.collect_list(F.struct("span", "new"))).alias("_objsql_new"), words.alias("words"))
-    pattern = F.when(F.size("words") == 0, F.lit(ANY)).otherwise(F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform("words", lambda w: w["span"]), "|"), F.lit(r")(?![\p{L}\p{N}])")))
-    by_text = settled(by_text.select("_objsql_of", "_objsql_new", F.when(F.size("words") > 0, pattern).alias("_objsql_any")))
+    by_text = settled(by_text.select("_objsql_of", "_objsql_new", F.when(F.size("words") > 0, F.array_join(F.transform("words", lambda w: w["span"]), "|")).alias("_objsql_words")))
 
     joined = docs.select(*[c for c in docs.columns if c != count_col]).withColumn("_objsql_text", F.xxhash64(F.col(text_col).cast("string")))
     joined = joined.join(small_side(by_text), F.col("_objsql_text") == F.col("_objsql_of"), "left")
@@ -294,7 +293,8 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
         return F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.concat(F.lit("("), pattern, F.lit(")")), F.lit(1)).alias("entities"))
 
     # Most texts have no names; the pattern of the others is compiled anew for each.
-    both = F.when(F.col("_objsql_any").isNull(), cut(F.lit(ANY))).otherwise(cut(F.col("_objsql_any")))
+    own = F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?:"), F.col("_objsql_words"), F.lit(r")(?![\p{L}\p{N}])"))
+    both = F.when(F.col("_objsql_words").isNull(), cut(F.lit(ANY))).otherwise(cut(own))
     done = F.when(F.col("_objsql_of").isNull(), F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))).otherwise(F.element_at(F.transform(F.array(both), put), 1))
     joined = joined.withColumn("_objsql_done", done)
     columns = [F.col("_objsql_done.text").alias(c) if c == text_col else F.col(c) for c in docs.columns if c != count_col]
