@@ -61,14 +61,21 @@ def ring_position(key: Column) -> Column:
     return F.conv(F.substring(F.sha2(key.cast("binary"), 256), 1, 15), 16, 10).cast("long")
 
 
-#: SQL functions that user queries may call, as bodies of SQL UDFs.
+_SPACES = "concat(chr(92), 's')"
+_ONE = "concat(chr(92), 'x{', lower(hex(ascii(chars))), '}')"
+#: What a side's trim takes off; the pattern is folded to a constant where the characters are one.
+_TRIMMED = {"leading": "concat('(?U)^', {0}, '+')", "trailing": "concat('(?U)', {0}, '+$')", "both": "concat('(?U)^', {0}, '+|', {0}, '+$')"}
+#: SQL functions that user queries may call, as bodies of SQL UDFs; ``objsql.plans.rewrite`` puts SUBSTRING and TRIM as the objsql_ ones.
 _SQL = {
     "utcnow": ("", "STRING", "date_format(to_utc_timestamp(current_timestamp(), current_timezone()), 'yyyy-MM-dd''T''HH:mm:ss''Z''')"),
     "to_string": ("ts TIMESTAMP, fmt STRING", "STRING", "date_format(ts, fmt)"),
+    "objsql_substring": ("s STRING, start BIGINT", "STRING", "CASE WHEN start IS NOT NULL THEN substr(s, CAST(greatest(start, 1) AS INT)) END"),
+    "objsql_substring_n": ("s STRING, start BIGINT, n BIGINT", "STRING", "CASE WHEN start IS NOT NULL AND n IS NOT NULL THEN substr(s, CAST(greatest(start, 1) AS INT), CAST(greatest(n, 0) AS INT)) END"),
+    **{f"objsql_trim_{side}": ("s STRING, chars STRING", "STRING", f"CASE WHEN chars = '' THEN s ELSE regexp_replace(s, {_TRIMMED[side].format(f'CASE WHEN chars IS NULL THEN {_SPACES} ELSE {_ONE} END')}, '') END") for side in _TRIMMED},
 }
 
 
 def register(spark: SparkSession) -> None:
-    """Makes UTCNOW and TO_STRING callable from SQL text."""
+    """Makes the functions of _SQL callable from SQL text."""
     for name, (args, kind, body) in _SQL.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {kind} RETURN {body}")

@@ -88,6 +88,18 @@ def list_versions(versions: DataFrame, prefix: str = "", key_marker: str = "", v
     return placed.withColumn("is_latest", F.col("version_pos") == 0).orderBy(key, "version_pos").limit(max_keys)
 
 
+def list_version_entries(versions: DataFrame, prefix: str, delimiter: str, start_after: str = "", max_keys: int = MAX_KEYS, key: str = "key", created: str = "created_at", version: str = "version_id") -> DataFrame:
+    """entry, kind, version, version_pos of a page of versions in order: keys that go on past a delimiter are rolled up to one common prefix before the page is cut."""
+    rolled = common_prefix(F.col(key), prefix, delimiter)
+    found = versions.where(F.col(key).startswith(prefix))
+    if start_after:
+        found = found.where((F.col(key) > start_after) & ~(F.lit(start_after.endswith(delimiter)) & F.col(key).startswith(start_after)))
+    w = Window.partitionBy(key).orderBy(F.col(created).desc(), F.col(version).desc())
+    plain = found.where(rolled.isNull()).select(F.col(key).alias("entry"), F.lit("version").alias("kind"), F.col(version).alias("version"), (F.row_number().over(w) - 1).alias("version_pos"))
+    prefixes = found.where(rolled.isNotNull()).select(rolled.alias("entry")).distinct().select("entry", F.lit("prefix").alias("kind"), F.lit(None).cast(versions.schema[version].dataType).alias("version"), F.lit(0).alias("version_pos"))
+    return plain.unionByName(prefixes).orderBy("entry", "version_pos").limit(max_keys)
+
+
 def with_unversioned(versioned: DataFrame, plain: DataFrame, key: str = "key", version: str = "version_id") -> DataFrame:
     """Versions, and the objects whose key has none as version 'null'."""
     lone = plain.join(versioned.select(key).distinct(), key, "left_anti").withColumn(version, F.lit("null"))

@@ -74,9 +74,20 @@ def keys_in_leaves(entries: DataFrame, diff: DataFrame, leaves: int, key: str =
     return entries.withColumn("leaf", leaf).join(diff.select("leaf"), "leaf", "left_semi").drop("leaf")
 
 
+#: Leading bits of a place on the ring that range joins are made on.
+_BITS = 12
+
+
+def _covered(low: Column, high: Column) -> Column:
+    """The leading bits of the places from low to high, both included."""
+    return F.explode(F.sequence(F.shiftright(low, RING_BITS - _BITS), F.shiftright(high, RING_BITS - _BITS)))
+
+
 def keys_in_ranges(entries: DataFrame, ranges: DataFrame, position: str = "position") -> DataFrame:
-    """The entries with a position in one of the ranges (range_start, range_end): a broadcast of a bounded repair plan."""
-    return entries.join(F.broadcast(ranges), (F.col(position) >= F.col("range_start")) & (F.col(position) < F.col("range_end")), "left_semi")
+    """The entries with a position in one of the ranges (range_start, range_end), the end not included: an equi-join on the leading bits, and a comparison."""
+    spread = ranges.where("range_start < range_end").select("range_start", "range_end", _covered(F.col("range_start"), F.col("range_end") - 1).alias("_lead"))
+    here = (F.shiftright(entries[position], RING_BITS - _BITS) == F.col("_lead")) & (entries[position] >= F.col("range_start")) & (entries[position] < F.col("range_end"))
+    return entries.join(spread, here, "left_semi")
 
 
 def ring(nodes: list[str], points: int, spark) -> DataFrame:
@@ -89,22 +100,33 @@ def ring_replicas(keys: DataFrame, places: DataFrame, replicas: int, key: str =
     """key, node, rank: the first ``replicas`` distinct nodes clockwise from each key's place.
 
     The walk is worked out once for each gap between two ring points, on the
-    small table; a key only finds its gap, by an equi-join on the leading bits
-    of its place and a comparison.
+    driver: the ring is a cluster's configuration and no data. A key finds its
+    gap by an equi-join on the leading bits of its place, and a comparison.
     """
-    points = places.groupBy("position").agg(F.min("node").alias("node"))
-    walk = points.alias("g").crossJoin(points.alias("p"))  # two bounded configuration tables
-    distance = F.pmod(F.col("p.position") - F.col("g.position"), F.lit(2**RING_BITS))
-    near = walk.groupBy(F.col("g.position").alias("gap"), F.col("p.node").alias("node")).agg(F.min(distance).alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("gap").orderBy("distance", "node"))
-    owners = near.withColumn("rank", rank).where(F.col("rank") <= replicas).groupBy("gap").agg(F.array_sort(F.collect_list(F.struct("rank", "node"))).alias("nodes"))
-    # Gap g covers (previous point, g]; the first also what lies beyond the last.
-    order = Window.orderBy("gap")
-    spans = owners.withColumn("low", F.coalesce(F.lag("gap").over(order), F.lit(-1)))
-    top = owners.agg(F.max("gap").alias("low"), F.min_by("nodes", "gap").alias("nodes")).select(F.lit(2**RING_BITS).alias("gap"), "nodes", "low")
-    spans = F.broadcast(spans.select("gap", "nodes", "low").unionByName(top))
+    points = sorted({r.position: r.node for r in places.orderBy(F.desc("node")).collect()}.items())
+    spans = []
+    for n, (gap, _) in enumerate(points):
+        nodes = _first_nodes(points, n, replicas)
+        # Gap g covers (previous point, g]; the first also what lies beyond the last.
+        spans.append((points[n - 1][0] if n else -1, gap, nodes))
+    spans += [(points[-1][0], 2**RING_BITS - 1, spans[0][2])] if points and points[-1][0] < 2**RING_BITS - 1 else []
+    table = keys.sparkSession.createDataFrame(spans, "low long, gap long, nodes array<string>")
+    table = table.select("low", "gap", F.transform("nodes", lambda n, k: F.struct((k + 1).alias("rank"), n.alias("node"))).alias("nodes"), _covered(F.col("low") + 1, F.col("gap")).alias("lead"))
     placed = keys.select(F.col(key), ring_position(F.col(key)).alias("_place"))
-    return placed.join(spans, (F.col("_place") > F.col("low")) & (F.col("_place") <= F.col("gap"))).select(key, F.explode("nodes").alias("n")).select(key, "n.node", "n.rank")
+    met = placed.join(table, (F.shiftright("_place", RING_BITS - _BITS) == F.col("lead")) & (F.col("_place") > F.col("low")) & (F.col("_place") <= F.col("gap")))
+    return met.select(key, F.explode("nodes").alias("n")).select(key, "n.node", "n.rank")
+
+
+def _first_nodes(points: list[tuple[int, str]], start: int, count: int) -> list[str]:
+    """The first ``count`` distinct nodes from a point on, clockwise; fewer if there are no more."""
+    found: list[str] = []
+    for k in range(len(points)):
+        node = points[(start + k) % len(points)][1]
+        if node not in found:
+            found.append(node)
+            if len(found) == count:
+                break
+    return found
 
 
 def frontier(cuts: DataFrame, by: str = "range_start", hlc: tuple[str, ...] = HLC) -> DataFrame:
@@ -136,3 +158,15 @@ def compare_vectors(a: Column, b: Column) -> Column:
 def rejoin_decision(last_seen: Column, now: int, max_downtime: int) -> Column:
     """Whether a node that comes back may go on, or must be built anew; so too one never seen."""
     return F.when(F.lit(now) - last_seen <= max_downtime, "rejoin").otherwise("rebuild")
+
+
+def hlc_tick(wall: Column, logical: Column, now: Column) -> Column:
+    """A clock (wall, logical) after an event of its own at the time ``now``."""
+    return F.when(now > wall, F.struct(now.alias("wall"), F.lit(0).cast("long").alias("logical"))).otherwise(F.struct(wall.alias("wall"), (logical + 1).cast("long").alias("logical")))
+
+
+def hlc_observe(wall: Column, logical: Column, other_wall: Column, other_logical: Column, now: Column) -> Column:
+    """A clock after it has seen another one at the time ``now``: later than both."""
+    top = F.greatest(wall, other_wall, now)
+    counter = F.when((top == wall) & (top == other_wall), F.greatest(logical, other_logical) + 1).when(top == wall, logical + 1).when(top == other_wall, other_logical + 1).otherwise(0)
+    return F.struct(top.alias("wall"), counter.cast("long").alias("logical"))

@@ -53,6 +53,19 @@ def compaction_plan(volumes: DataFrame, active: int | None = None, share: float
     return found.orderBy(F.col("fragmentation").desc(), volume).limit(most)
 
 
+def scan_volume(blobs: DataFrame, volume: int, column: str = "volume_id", offset: str = "offset") -> DataFrame:
+    """The blobs of one volume in the order they lie there."""
+    return blobs.where(F.col(column) == volume).orderBy(offset)
+
+
+def pending_hints(hints: DataFrame, delivered: DataFrame, now: int, ttl: int, target: str | None = None) -> DataFrame:
+    """Hints (hint_id, target, created_at) still to be delivered at ``now``: not delivered yet and not older than ``ttl``, oldest first."""
+    found = hints.where(F.col("created_at") + ttl >= now)
+    if target is not None:
+        found = found.where(F.col("target") == target)
+    return found.join(delivered.select("hint_id"), "hint_id", "left_anti").orderBy("target", "created_at", "hint_id")
+
+
 def orphans(found: DataFrame, *live: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows of ``found`` that none of the live sets has."""
     keys = [on] if isinstance(on, str) else on

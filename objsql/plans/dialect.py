@@ -102,14 +102,36 @@ def object_tables(sql: str) -> tuple[str, list[str]]:
     return _LITERALS.sub(put, sql), found
 
 
-def positions(sql: str, columns: list[str]) -> str:
-    """Replaces _1, _2, ... by the names of the columns there, outside quotes; names that are columns themselves stay."""
-    own = {c.lower() for c in columns}
+#: Words that may follow a table's name and are no alias.
+_NO_ALIAS = {"WHERE", "JOIN", "ON", "USING", "INNER", "LEFT", "RIGHT", "FULL", "CROSS", "NATURAL", "LATERAL", "SEMI", "ANTI", "GROUP", "ORDER", "HAVING", "LIMIT", "OFFSET", "FETCH", "UNION", "INTERSECT", "EXCEPT", "QUALIFY", "WINDOW", "TABLESAMPLE", "PIVOT", "UNPIVOT"}
+_QUOTED = r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`"
+
+
+def positions(sql: str, tables: dict[str, list[str]]) -> str:
+    """Replaces _1, _2, ... by the names of the columns there, outside quotes; names that are columns themselves stay.
+
+    ``tables`` has the columns of each table. After an alias or a table's name
+    its own columns count, else those of the query's first table.
+    """
+    known = {name.lower(): columns for name, columns in tables.items()}
+    order: list[str] = []
+    names = "|".join(map(re.escape, known)) or "(?!)"
+    for found in re.finditer(rf"(?i){_QUOTED}|(?:\bfrom|\bjoin|,)\s+({names})\b(?:\s+(?:as\s+)?([a-z_]\w*))?", sql):
+        if found[1]:
+            name, alias = found[1].lower(), found[2]
+            alias = (alias if alias and alias.upper() not in _NO_ALIAS else name).lower()
+            known[alias] = known[name]
+            order.append(alias)
+    first = known[order[0]] if order else next(iter(known.values()), [])
 
     def put(m: re.Match) -> str:
         if m[0][0] in "'\"`":
             return m[0]
-        n = int(m[1])
-        return m[0] if m[0].lower() in own or not 1 <= n <= len(columns) else f"`{columns[n - 1]}`"
+        columns = known.get(m[1].lower(), []) if m[1] else first
+        n = int(m[2])
+        if f"_{n}" in (c.lower() for c in columns) or not 1 <= n <= len(columns):
+            return m[0]
+        owner = f"{m[1]}." if m[1] else f"{order[0]}." if len(order) > 1 else ""
+        return f"{owner}`{columns[n - 1]}`"
 
-    return re.sub(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|\b_(\d+)\b", put, sql)
+    return re.sub(rf"{_QUOTED}|(?:\b([A-Za-z_]\w*)\.|(?<![\w.]))_(\d+)\b", put, sql)

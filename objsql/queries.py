@@ -12,8 +12,9 @@ from objsql import streaming
 from objsql.operators import lifecycle, listing, replicas, storage
 from objsql.plans import Engine
 from objsql.session import work_path
-from objsql.sources import CsvInput, CsvOutput, GlobRequest, JsonInput, ParquetInput, SelectRequest
-from objsql.sources.sinks import csv_lines, write
+from objsql.sources import CsvInput, CsvOutput, GlobRequest, JsonInput, JsonOutput, ParquetInput, SelectRequest
+from objsql.sources.request import input_by_content_type, input_by_extension
+from objsql.sources.sinks import csv_lines, encode, read_frames, write
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -79,6 +80,30 @@ sql(
 )
 sql("utcnow_shape", "SELECT r_regionkey, char_length(UTCNOW()) AS n, UTCNOW() LIKE '____-__-__T__:__:__Z' AS fine FROM region", "SELECT r_regionkey, 20 AS n, TRUE AS fine FROM region")
 
+_TEXT_FUNCTIONS = "SELECT doc_id, SUBSTRING(text, -4, 6) AS clamped, SUBSTRING(text FROM 3 FOR 4) AS middle, substr(text, 5) AS rest, TRIM(chr(9) || ' ' || source || ' ') AS trimmed, TRIM(TRAILING '0' FROM source) AS no_zeros, TRIM(LEADING 'sx' FROM source) AS no_s, TO_TIMESTAMP(lang) IS NULL AS bad_time, CHARACTER_LENGTH(lang) + CHAR_LENGTH(lang) AS n, TO_STRING(TO_TIMESTAMP('2024-03-05 06:07:08'), 'yyyy/MM/dd HH') AS told FROM documents"
+sql(
+    "text_functions", _TEXT_FUNCTIONS,
+    "SELECT doc_id, substr(text, 1, 6) AS clamped, substr(text, 3, 4) AS middle, substr(text, 5) AS rest, source AS trimmed, rtrim(source, '0') AS no_zeros, ltrim(source, 's') AS no_s, TRUE AS bad_time, CAST(2 * length(lang) AS INTEGER) AS n, '2024/03/05 06' AS told FROM documents",
+)
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_linenumber // 2 AS BIGINT) AS half, CAST(l_orderkey * 3 // (l_linenumber + 1) AS BIGINT) AS mixed, l_quantity / 2 AS real_half, CAST(NULL AS BIGINT) AS no_number, CAST(substr(l_returnflag || '12', 2) AS BIGINT) AS number FROM lineitem WHERE l_linenumber // 2 = 1")
+def strict_cast_division(spark, sf_dir):
+    text = "SELECT l_orderkey, l_linenumber, l_linenumber / 2 AS half, l_orderkey * 3 / (l_linenumber + 1) AS mixed, l_quantity / 2 AS real_half, CAST(l_returnflag AS INT) AS no_number, CAST(SUBSTRING(l_returnflag || '12', 2) AS INTEGER) AS number FROM S3Object WHERE l_linenumber / 2 = 1"
+    return Engine(spark).query_object(SelectRequest(text, ParquetInput(), dialect="strict"), f"{sf_dir}/lineitem.parquet")
+
+
+sql("fetch_first", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey OFFSET 5 ROWS FETCH FIRST 12 ROWS ONLY", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 12 OFFSET 5")
+sql("top_rows", "SELECT TOP 7 p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 7")
+sql("qualify_rows", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rn FROM events WHERE value > 1 QUALIFY rn <= 2")
+sql("any_all_subquery", "SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal >= ALL (SELECT c_acctbal - 5000 FROM customer) OR s_nationkey = ANY (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+sql("is_missing", "SELECT n_nationkey, nullif(n_regionkey, 2) IS MISSING AS gone, n_name IS NOT MISSING AS there FROM nation", "SELECT n_nationkey, nullif(n_regionkey, 2) IS NULL AS gone, TRUE AS there FROM nation")
+sql("truth_and_distinct", "SELECT n_nationkey, (n_regionkey = 1) IS TRUE AS t, (nullif(n_regionkey, 3) > 1) IS NOT FALSE AS f, nullif(n_regionkey, 2) IS DISTINCT FROM 2 AS d, nullif(n_regionkey, 2) IS NOT DISTINCT FROM NULL AS e, position('A' IN n_name) AS place, CAST(floor(n_nationkey / 4.0) AS BIGINT) AS low, CAST(ceil(n_nationkey / 4.0) AS BIGINT) AS high FROM nation", "SELECT n_nationkey, (n_regionkey = 1) IS TRUE AS t, (nullif(n_regionkey, 3) > 1) IS NOT FALSE AS f, nullif(n_regionkey, 2) IS DISTINCT FROM 2 AS d, nullif(n_regionkey, 2) IS NOT DISTINCT FROM NULL AS e, CAST(position('A' IN n_name) AS INTEGER) AS place, CAST(floor(n_nationkey / 4.0) AS BIGINT) AS low, CAST(ceil(n_nationkey / 4.0) AS BIGINT) AS high FROM nation")
+sql("bits_and_patterns", "SELECT p_partkey, +p_size AS plus, p_size & 6 AS a, p_size | 6 AS o, regexp_replace(p_brand, '[0-9]+', '#') AS masked, p_name RLIKE '^[a-z]+' AS lower_start, abs(-p_size) AS size, sqrt(p_size * p_size) AS root, try_cast(p_brand AS BIGINT) AS none, p_size::STRING AS told FROM part", "SELECT p_partkey, p_size AS plus, p_size & 6 AS a, p_size | 6 AS o, regexp_replace(p_brand, '[0-9]+', '#', 'g') AS masked, regexp_matches(p_name, '^[a-z]+') AS lower_start, abs(-p_size) AS size, sqrt(p_size * p_size) AS root, CAST(NULL AS BIGINT) AS none, p_size::VARCHAR AS told FROM part")
+sql("values_rows", "SELECT k, v || '!' AS v FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) AS t(k, v) UNION ALL SELECT r_regionkey, r_name FROM region")
+sql("alias_star", "SELECT r.*, n.n_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey")
+sql("percentiles", "SELECT event_type, percentile(value, 0.5) AS p50, percentile(value, array(0.9))[0] AS p90, count(*) AS n FROM events GROUP BY event_type", "SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.9) AS p90, count(*) AS n FROM events GROUP BY event_type")
+
 # -- aggregates, joins, windows, sets -------------------------------------------------------------
 
 sql("global_agg_where", "SELECT count(*) AS n, count(nullif(l_returnflag, 'N')) AS n_flagged, sum(l_quantity) AS qty, avg(l_extendedprice) AS mean_price, min(l_shipdate) AS first_ship, max(l_discount * l_tax) AS top, sum(l_extendedprice) / count(*) AS ratio FROM lineitem WHERE l_discount > 0.05")
@@ -91,7 +116,7 @@ sql("count_distinct", "SELECT event_type, count(DISTINCT user_id) AS users, coun
 sql("join_inner", "SELECT n_name, count(*) AS n, sum(o_totalprice) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 sql("join_left", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F' GROUP BY c_custkey")
 sql("join_right", "SELECT n_name, s_suppkey FROM nation RIGHT JOIN supplier ON n_nationkey = s_nationkey AND n_regionkey = 2")
-sql("join_full", "SELECT c.c_custkey, s.s_suppkey FROM (SELECT * FROM customer WHERE c_custkey <= 150) c FULL JOIN (SELECT * FROM supplier WHERE s_suppkey > 50) s ON c.c_custkey = s.s_suppkey")
+sql("join_full", "SELECT c.c_custkey, s.s_suppkey FROM customer c FULL JOIN supplier s ON c.c_custkey = s.s_suppkey AND c.c_nationkey = s.s_nationkey")
 sql("join_semi", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 sql("join_anti", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 sql("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
@@ -176,6 +201,119 @@ def object_sizes(spark, sf_dir):
     return read(spark, sf_dir, "documents").where(size >= 500).select("doc_id", size.cast("long").alias("size"), F.md5(F.right("text", F.lit(1))).alias("last_char"))
 
 
+@query("SELECT p_partkey AS k, p_brand AS brand FROM part")
+def csv_header_ignored(spark, sf_dir):
+    path = work_path(spark, "csv")
+    write(_parts(spark, sf_dir), path, CsvOutput(header=True))
+    return Engine(spark).query_object(SelectRequest("SELECT _1 AS k, _3 AS brand FROM s3object", CsvInput("IGNORE")), path)
+
+
+@query("SELECT p_partkey AS k, p_name || chr(10) || 'x' AS name FROM part")
+def csv_comments_newlines(spark, sf_dir):
+    path = work_path(spark, "csv")
+    lines = _parts(spark, sf_dir).select(F.concat(F.lit("#note\n"), F.col("p_partkey").cast("string"), F.lit(',"'), "p_name", F.lit('\nx"')).alias("value"))
+    lines.write.text(path)
+    return Engine(spark).query_object(SelectRequest("SELECT _1 AS k, _2 AS name FROM s3object", CsvInput(comment="#", quoted_newlines=True)), path)
+
+
+@query("SELECT p_partkey AS k, p_size AS size FROM part")
+def csv_record_delimiter(spark, sf_dir):
+    path = work_path(spark, "csv")
+    write(_parts(spark, sf_dir).select("p_partkey", "p_size"), path, CsvOutput(record_delimiter=";"))
+    return Engine(spark).query_object(SelectRequest("SELECT _1 AS k, _2 AS size FROM s3object", CsvInput(record_delimiter=";")), path)
+
+
+@query("SELECT CAST(0 AS BIGINT) AS n")
+def csv_blank(spark, sf_dir):
+    path = work_path(spark, "csv")
+    write(_parts(spark, sf_dir).where("p_size < 0").select("p_partkey", "p_size"), path, CsvOutput(header=True))
+    spark.createDataFrame([("k,size",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return Engine(spark).query_object(SelectRequest("SELECT count(*) AS n FROM s3object", CsvInput("USE")), path)
+
+
+@query("SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand")
+def whole_bucket(spark, sf_dir):
+    bucket = work_path(spark, "bucket")
+    for n in range(2):
+        _parts(spark, sf_dir).where(F.col("p_partkey") % 2 == n).write.json(f"{bucket}/part{n}")
+    for folder in ("part0", "part1"):
+        _no_marks(spark, f"{bucket}/{folder}")
+    return Engine(spark).query_glob(GlobRequest("SELECT p_brand, count(*) AS n FROM s3object GROUP BY p_brand", "ndjson"), bucket)
+
+
+def _no_marks(spark, path):
+    """Takes away the empty mark that a finished write leaves."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    mark.getFileSystem(spark._jsc.hadoopConfiguration()).delete(mark, False)
+
+
+@query(_PART + " WHERE p_size > 25")
+def gzip_object(spark, sf_dir):
+    path, named = work_path(spark, "csv"), work_path(spark, "named")
+    _parts(spark, sf_dir).coalesce(1).write.csv(path, header=True, compression="gzip")
+    # The object's name says nothing about its compression.
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    there = fs_path(f"{path}/*.csv.gz")
+    fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.rename(fs.globStatus(there)[0].getPath(), fs_path(named))
+    return Engine(spark).query_object(SelectRequest("SELECT p_partkey, p_name, p_brand, p_size FROM s3object WHERE p_size > 25", CsvInput("USE"), compression="GZIP"), named)
+
+
+@query("SELECT p_partkey AS k FROM (SELECT p_partkey, sum(length(CAST(p_partkey AS VARCHAR)) + 1) OVER (ORDER BY p_partkey) - length(CAST(p_partkey AS VARCHAR)) - 1 AS byte_pos FROM part) t WHERE byte_pos >= 100 AND byte_pos < 2000")
+def scan_range(spark, sf_dir):
+    path = work_path(spark, "csv")
+    _parts(spark, sf_dir).select("p_partkey").orderBy("p_partkey").coalesce(1).write.csv(path)
+    _no_marks(spark, path)
+    return Engine(spark).query_object(SelectRequest("SELECT _1 AS k FROM s3object", CsvInput(), scan_range=(100, 2000)), path)
+
+
+@query("SELECT strlen(t) AS n, CAST(substr(t, 3, 5) AS VARCHAR) AS part FROM (SELECT string_agg(r_name, chr(10) ORDER BY r_regionkey) || chr(10) AS t FROM region) x")
+def byte_range_read(spark, sf_dir):
+    path = work_path(spark, "bytes")
+    read(spark, sf_dir, "region").orderBy("r_regionkey").select("r_name").coalesce(1).write.text(path)
+    _no_marks(spark, path)
+    from objsql.sources.readers import read_range
+
+    size = spark.read.format("binaryFile").load(path).select(F.col("length").alias("n"))
+    return size.crossJoin(read_range(spark, path, "bytes=2-6").select(F.col("content").cast("string").alias("part")))  # one row each
+
+
+@query("SELECT p_partkey || ',' || p_brand AS line FROM part UNION ALL SELECT 'p_partkey,p_brand'")
+def csv_output_header(spark, sf_dir):
+    path = work_path(spark, "csv")
+    write(_parts(spark, sf_dir).select("p_partkey", "p_brand").coalesce(1), path, CsvOutput(header=True))
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@query("SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS line FROM region")
+def json_output(spark, sf_dir):
+    path = work_path(spark, "json")
+    write(read(spark, sf_dir, "region"), path, JsonOutput())
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@query("SELECT '[' || string_agg('{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}', ',' ORDER BY r_regionkey) || ']' AS answer FROM region")
+def json_array_output(spark, sf_dir):
+    text = b"".join(encode(read(spark, sf_dir, "region").orderBy("r_regionkey"), JsonOutput(array=True))).decode()  # five rows
+    return spark.createDataFrame([(text,)], "answer string")
+
+
+@query("SELECT unnest(['Records', 'Progress', 'Stats', 'End']) AS event, unnest([1, 2, 3, 4]) AS position")
+def event_frames(spark, sf_dir):
+    path = work_path(spark, "csv")
+    write(read(spark, sf_dir, "region"), path, CsvOutput())
+    answer = Engine(spark).select(SelectRequest("SELECT _2 FROM s3object", CsvInput(), progress=True), path)
+    return spark.createDataFrame([(h[":event-type"], n + 1) for n, (h, _) in enumerate(read_frames(answer))], "event string, position int")
+
+
+@query("SELECT ext AS object, kind FROM (SELECT unnest(['a.csv', 'b.tsv', 'c.jsonl', 'd.pq', 'e.exe', 'text/csv', 'application/x-ndjson; charset=utf-8', 'application/octet-stream']) AS ext, unnest(['CsvInput', 'CsvInput', 'JsonInput', 'ParquetInput', NULL, 'CsvInput', 'JsonInput', 'ParquetInput']) AS kind) t")
+def format_detection(spark, sf_dir):
+    names = ["a.csv", "b.tsv", "c.jsonl", "d.pq", "e.exe"]
+    types = ["text/csv", "application/x-ndjson; charset=utf-8", "application/octet-stream"]
+    found = [(n, input_by_extension(n)) for n in names] + [(t, input_by_content_type(t)) for t in types]
+    return spark.createDataFrame([(n, type(f).__name__ if f else None) for n, f in found], "object string, kind string")
+
+
 # -- the catalog -------------------------------------------------------------------------------------
 
 
@@ -310,6 +448,119 @@ def inline_objects(spark, sf_dir):
     return storage.inline_count(rows)
 
 
+@query("SELECT CAST(e.event_id AS VARCHAR) AS version_id, 'u' || user_id AS key FROM events e UNION ALL SELECT 'null', 'u' || c_custkey FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)")
+def unversioned_keys(spark, sf_dir):
+    versioned = read(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("version_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"))
+    plain = read(spark, sf_dir, "customer").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("key"))
+    return listing.with_unversioned(versioned, plain)
+
+
+@query("SELECT user_id AS key, event_id AS version_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) - 1 AS version_pos, value FROM events")
+def version_lists(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("version_id"), "value")
+    lists = e.groupBy("key").agg(F.sort_array(F.collect_list("version_id"), asc=False).alias("versions"))
+    return listing.exploded_versions(lists, e).withColumn("version_pos", F.col("version_pos").cast("long"))
+
+
+@query("SELECT DISTINCT 'b' || l_partkey AS blob_id FROM lineitem")
+def manifest_blobs(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem")
+    manifests = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_linenumber").alias("part_number"), F.concat(F.lit("b"), F.col("l_partkey").cast("string")).alias("blob_id"))).alias("segments"))
+    return storage.referenced_blobs(manifests)
+
+
+_RING = "('0x' || substr(sha256(url), 1, 15))::BIGINT"
+
+
+@query(f"SELECT url, {_RING} AS position FROM pages WHERE ({_RING} >= 1000000 AND {_RING} < 100000000000000000) OR ({_RING} >= 576460752303423488 AND {_RING} < 800000000000000000)")
+def keys_to_repair(spark, sf_dir):
+    ranges = spark.createDataFrame([(1_000_000, 10**17), (2**59, 8 * 10**17), (5, 5)], "range_start long, range_end long")
+    return replicas.keys_in_ranges(read(spark, sf_dir, "pages").select("url", fn.ring_position(F.col("url")).alias("position")), ranges)
+
+
+@query("SELECT count(*) AS n, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND source <> 'src3'")
+def listed_objects(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    key = F.when(F.col("doc_id") % 5 == 0, F.lit("k#v")).otherwise(F.lit("k"))
+    bucket = F.when(F.col("source") == "src3", F.lit("__system")).otherwise(F.col("source"))
+    return d.where(storage.is_listed(bucket, key, F.col("doc_id") % 7 == 0)).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+
+
+@query(f"WITH {_VERSIONS}, r AS (SELECT *, CASE WHEN strpos(substr(key, 2), '/') > 0 THEN substr(key, 1, 1 + strpos(substr(key, 2), '/')) END AS p FROM v WHERE starts_with(key, '1')), e AS (SELECT key AS entry, 'version' AS kind, version_id AS version, row_number() OVER (PARTITION BY key ORDER BY created_at DESC, version_id DESC) - 1 AS version_pos FROM r WHERE p IS NULL UNION ALL SELECT DISTINCT p, 'prefix', CAST(NULL AS BIGINT), 0 FROM r WHERE p IS NOT NULL) SELECT entry, kind, version, CAST(version_pos AS INTEGER) AS version_pos FROM e ORDER BY entry, version_pos LIMIT 40")
+def versions_by_delimiter(spark, sf_dir):
+    return listing.list_version_entries(event_versions(spark, sf_dir), "1", "/", max_keys=40)
+
+
+@query("SELECT l_linenumber AS part_number, l_quantity AS size FROM lineitem WHERE l_orderkey = 7 AND l_linenumber > 1 ORDER BY l_linenumber LIMIT 3")
+def multipart_parts(spark, sf_dir):
+    parts = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("upload_id"), F.col("l_linenumber").alias("part_number"), F.col("l_quantity").alias("size"))
+    return listing.list_parts(parts, "7", 1, 3).select("part_number", "size")
+
+
+@query("SELECT CAST(r_regionkey AS INTEGER) AS pool_id, 100 - 10 * ((r_regionkey * 3) % 5) AS free FROM region ORDER BY free DESC, pool_id LIMIT 1")
+def freest_pool(spark, sf_dir):
+    pools = read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("pool_id"), F.lit(100).alias("total"), (F.col("r_regionkey") * 3 % 5 * 10).alias("used"))
+    return listing.most_free(pools)
+
+
+@query("SELECT user_id AS key, event_id, value FROM events WHERE event_id > 2500")
+def journal_tail(spark, sf_dir):
+    journal = read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "event_id", "value")
+    return streaming.tail(streaming.compacted(journal, 1000, "event_id"), 2500, "event_id")
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'click' AND 10000 - greatest(event_id, user_id) > 4000")
+def expired_uploads(spark, sf_dir):
+    sessions = read(spark, sf_dir, "events").where("event_type = 'click'").select("event_id", F.col("event_id").alias("updated_at"), F.col("user_id").alias("created_at"))
+    return storage.expired_sessions(sessions, 10_000, 4_000).select("event_id")
+
+
+@query("SELECT event_id AS hint_id, user_id AS target FROM events WHERE event_id + 5000 >= 9000 AND event_id % 3 <> 0 AND user_id % 4 = 1")
+def hint_queue(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("hint_id"), F.col("user_id").alias("target"), F.col("event_id").alias("created_at"))
+    return storage.pending_hints(e.where("target % 4 = 1"), e.where("hint_id % 3 = 0"), 9000, 5000).select("hint_id", "target")
+
+
+@query("SELECT doc_id AS \"offset\", octet_length(encode(text)) AS blob_bytes FROM documents WHERE doc_id % 7 = 3")
+def volume_scan(spark, sf_dir):
+    return storage.scan_volume(_blobs(spark, sf_dir), 3).select("offset", "blob_bytes")
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def snapshot_restore(spark, sf_dir):
+    path = work_path(spark, "snapshot")
+    storage.snapshot({"region": read(spark, sf_dir, "region"), "nation": read(spark, sf_dir, "nation")}, path)
+    return storage.restore(spark, path, "region")["region"]
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'de' AND source = 'src2'")
+def metadata_search(spark, sf_dir):
+    objects = read(spark, sf_dir, "documents").select("doc_id", F.create_map(F.lit("lang"), "lang", F.lit("source"), "source").alias("metadata"))
+    return storage.by_metadata(objects, lang="de", source="src2").select("doc_id")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def latency_histogram(spark, sf_dir):
+    return streaming.windowed_latency(read(spark, sf_dir, "events")).select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+@query("SELECT user_id, CAST(event_id % 7 AS INTEGER) AS slot, max(event_id) AS counter FROM events GROUP BY 1, 2")
+def merged_vectors(spark, sf_dir):
+    vectors = read(spark, sf_dir, "events").select("user_id", F.create_map((F.col("event_id") % 7).cast("int"), F.col("event_id")).alias("vector"))
+    return replicas.merge_vectors(vectors, "user_id").select("user_id", F.explode("vector").alias("slot", "counter"))
+
+
+@query(
+    "SELECT event_id, CASE WHEN n > w THEN n ELSE w END AS tick_wall, CASE WHEN n > w THEN 0 ELSE l + 1 END AS tick_logical, greatest(w, ow, n) AS seen_wall,"
+    " CASE WHEN greatest(w, ow, n) = w AND greatest(w, ow, n) = ow THEN greatest(l, ol) + 1 WHEN greatest(w, ow, n) = w THEN l + 1 WHEN greatest(w, ow, n) = ow THEN ol + 1 ELSE 0 END AS seen_logical FROM (SELECT event_id, event_id % 5 AS w, event_id % 3 AS l, user_id % 5 AS ow, user_id % 3 AS ol, event_id % 6 AS n FROM events) t"
+)
+def hlc_events(spark, sf_dir):
+    e, u = F.col("event_id"), F.col("user_id")
+    tick, seen = replicas.hlc_tick(e % 5, e % 3, e % 6), replicas.hlc_observe(e % 5, e % 3, u % 5, u % 3, e % 6)
+    rows = read(spark, sf_dir, "events").select("event_id", tick.alias("tick"), seen.alias("seen"))
+    return rows.select("event_id", F.col("tick.wall").alias("tick_wall"), F.col("tick.logical").alias("tick_logical"), F.col("seen.wall").alias("seen_wall"), F.col("seen.logical").alias("seen_logical"))
+
+
 # -- replicas ------------------------------------------------------------------------------------------
 
 _NODES = (("n0", 2), ("n1", 3), ("n2", 5))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import bz2
+import gzip
 import re
+from dataclasses import replace
 
+import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, ShortType
 
-from objsql.sources.request import CsvInput, JsonInput, ParquetInput
+from objsql.sources.request import CsvInput, JsonInput, ParquetInput, RequestError
 
 
 def read_objects(spark: SparkSession, paths: str | list[str], given: CsvInput | JsonInput | ParquetInput, schema=None, skip_unreadable: bool = False) -> DataFrame:
@@ -18,9 +23,10 @@ def read_objects(spark: SparkSession, paths: str | list[str], given: CsvInput |
     numbers as BIGINT. CSV columns of several objects match by position, JSON
     fields and Parquet columns by name. A ragged or broken CSV record fails the
     query when it is reached. With ``skip_unreadable`` corrupt or vanished
-    files are passed over.
+    files are passed over. An RDD of lines may stand for an object.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
+    paths = [paths] if isinstance(paths, (str, RDD)) else list(paths)
+    lines = isinstance(paths[0], RDD)
     options = {"ignoreCorruptFiles": "true", "ignoreMissingFiles": "true"} if skip_unreadable else {}
     if isinstance(given, ParquetInput):
         return spark.read.options(**options).option("mergeSchema", "true" if len(paths) > 1 else "false").parquet(*paths)
@@ -29,11 +35,11 @@ def read_objects(spark: SparkSession, paths: str | list[str], given: CsvInput |
         if given.kind not in ("LINES", "DOCUMENT"):
             raise ValueError(f"unknown JSON type: {given.kind}")
         reader = reader.option("multiLine", given.kind == "DOCUMENT")
-        return (reader.schema(schema) if schema else reader).json(paths)
+        return (reader.schema(schema) if schema else reader).json(paths[0] if lines else paths)
     reader = reader.options(header=given.header != "NONE", sep=given.delimiter, quote=given.quote, escape=given.escape or given.quote, multiLine=given.quoted_newlines, comment=given.comment)
     if given.record_delimiter not in ("\n", "\r\n", "\r"):
         reader = reader.option("lineSep", given.record_delimiter)
-    df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(paths)
+    df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(paths[0] if lines else paths)
     if given.header != "USE":
         df = df.toDF(*[f"_{n + 1}" for n in range(len(df.columns))])
     if not schema:
@@ -41,6 +47,43 @@ def read_objects(spark: SparkSession, paths: str | list[str], given: CsvInput |
     return df
 
 
+def object_size(spark: SparkSession, path: str) -> int:
+    """Bytes of the objects under ``path``, from the listing alone."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(there).getLength()
+
+
+def read_scan_range(spark: SparkSession, path: str, given: CsvInput | JsonInput, scan: tuple[int | None, int | None]) -> DataFrame:
+    """The records of an object that begin in the bytes from start up to, not with, end; without a start the last end bytes.
+
+    Lines come with their offsets from Hadoop's text input, split by split, so
+    a large object is read by many tasks. The schema is that of the whole object.
+    """
+    if not isinstance(given, (CsvInput, JsonInput)) or getattr(given, "kind", "LINES") != "LINES" or getattr(given, "quoted_newlines", False):
+        raise RequestError("ScanRange is for CSV without quoted line breaks and for JSON lines")
+    size, (start, end) = object_size(spark, path), scan
+    first, last = (max(0, size - (end or 0)), size) if start is None else (start, size if end is None else end)
+    if first > last:
+        raise RequestError("ScanRange ends before it starts")
+    rows = spark.sparkContext.newAPIHadoopFile(path, "org.apache.hadoop.mapreduce.lib.input.TextInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text")
+    header = isinstance(given, CsvInput) and given.header != "NONE"
+    lines = rows.filter(lambda r: first <= r[0] < last and (r[0] > 0 or not header)).map(lambda r: r[1])
+    whole = read_objects(spark, path, given)
+    return read_objects(spark, lines, replace(given, header="NONE") if header else given, whole.schema).toDF(*whole.columns)
+
+
+def decompressed(spark: SparkSession, path: str, kind: str, target: str) -> str:
+    """Copies compressed objects, whatever their names, as text under ``target``; an object is one value, as the codecs can't be split."""
+    unpack = {"GZIP": gzip.decompress, "BZIP2": bz2.decompress}[kind]
+
+    def text(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([unpack(c.as_py()).decode().removesuffix("\n") for c in batch.column(0)], pa.string())], ["value"])
+
+    spark.read.format("binaryFile").load(path).select("content").mapInArrow(text, "value string").write.text(target)
+    return target
+
+
 def glob_regex(pattern: str) -> str:
     """A regular expression for whole keys: * and ? stay within a path part, ** crosses them, [..] and {a,b} as usual."""
     out, at, depth = "", 0, 0
@@ -68,7 +111,7 @@ def glob_regex(pattern: str) -> str:
     return f"^{out}$"
 
 
-def glob_prefix(pattern: str) -> str:
+def fixed_folder(pattern: str) -> str:
     """The folder under which all matches lie: what comes before the first wildcard, up to its last slash."""
     first = min((pattern.find(c) for c in "*?[{" if c in pattern), default=len(pattern))
     return pattern[: pattern.rfind("/", 0, first) + 1]
@@ -79,7 +122,7 @@ def is_glob(name: str) -> bool:
 
 
 def matching_keys(keys: DataFrame, pattern: str, key_col: str = "key") -> DataFrame:
-    return keys.where(keys[key_col].startswith(glob_prefix(pattern)) & keys[key_col].rlike(glob_regex(pattern)))
+    return keys.where(keys[key_col].startswith(fixed_folder(pattern)) & keys[key_col].rlike(glob_regex(pattern)))
 
 
 def list_objects(spark: SparkSession, bucket: str, pattern: str | None = None) -> list[str]:
@@ -89,7 +132,7 @@ def list_objects(spark: SparkSession, bucket: str, pattern: str | None = None) -
     driver gets the matching names, which a scan of these files would hold too.
     """
     base = bucket.rstrip("/") + "/"
-    root = base + glob_prefix(pattern) if pattern else base
+    root = base + fixed_folder(pattern) if pattern else base
     try:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
     except Exception as e:

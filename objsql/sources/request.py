@@ -65,6 +65,8 @@ class SelectRequest:
     output: CsvOutput | JsonOutput = field(default_factory=CsvOutput)
     scan_range: tuple[int | None, int | None] | None = None
     dialect: str = "extended"
+    compression: str = "NONE"  # GZIP or BZIP2; NONE goes by the object's extension
+    progress: bool = False
 
 
 #: Format names of glob requests.
@@ -98,6 +100,7 @@ class GlobRequest:
     has_headers: bool = True
     delimiter: str = ","
     dialect: str = "extended"
+    skip_unreadable: bool = False  # pass over objects that are corrupt or gone
 
     @classmethod
     def from_json(cls, body: str) -> GlobRequest:
@@ -159,4 +162,9 @@ def parse_select_xml(body: str | bytes) -> SelectRequest:
         wanted = JsonOutput()
     span = root.find("ScanRange")
     scan = None if span is None else tuple(int(x) if (x := span.findtext(n)) else None for n in ("Start", "End"))
-    return SelectRequest(expression, given, wanted, scan)
+    compression = text(source, "CompressionType", "NONE").upper()
+    if compression not in ("NONE", "GZIP", "BZIP2"):
+        raise RequestError(f"unknown compression: {compression}")
+    asked = root.find("RequestProgress")
+    progress = asked is not None and (asked.findtext("Enabled") or "").strip().lower() == "true"
+    return SelectRequest(expression, given, wanted, scan, compression=compression, progress=progress)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import time
 import zlib
 from collections.abc import Iterator
 
@@ -94,20 +95,32 @@ def read_frames(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at += total
 
 
-def event_stream(pieces: Iterator[bytes], scanned: int, chunk: int = 1 << 16) -> Iterator[bytes]:
-    """Records frames of up to ``chunk`` bytes, then Stats and End. Without records there is no Records frame."""
+def event_stream(pieces: Iterator[bytes], scanned: int, chunk: int = 1 << 16, progress: bool = False, idle_s: float = 5.0) -> Iterator[bytes]:
+    """Records frames of up to ``chunk`` bytes, then Stats and End. Without records there is no Records frame.
+
+    With ``progress`` each Records frame is followed by a Progress frame. A
+    Cont frame goes ahead of what took longer than ``idle_s`` to come.
+    """
     event = lambda kind, mime: {":message-type": "event", ":event-type": kind, **({":content-type": mime} if mime else {})}
-    sent, held = 0, b""
+    counts = lambda kind: frame(event(kind, "text/xml"), f"<{kind}><BytesScanned>{scanned}</BytesScanned><BytesProcessed>{scanned}</BytesProcessed><BytesReturned>{sent}</BytesReturned></{kind}>".encode())
+    sent, held, last = 0, b"", time.monotonic()
+
+    def records() -> Iterator[bytes]:
+        nonlocal sent, held, last
+        out = frame(event("Records", "application/octet-stream"), held)
+        sent, held, last = sent + len(out), b"", time.monotonic()
+        yield out
+        if progress:
+            yield counts("Progress")
+
     for piece in pieces:
+        if time.monotonic() - last > idle_s:
+            yield frame(event("Cont", ""), b"")
+            last = time.monotonic()
         held += piece
         if len(held) >= chunk:
-            out = frame(event("Records", "application/octet-stream"), held)
-            sent, held = sent + len(out), b""
-            yield out
+            yield from records()
     if held:
-        out = frame(event("Records", "application/octet-stream"), held)
-        sent += len(out)
-        yield out
-    stats = f"<Stats><BytesScanned>{scanned}</BytesScanned><BytesProcessed>{scanned}</BytesProcessed><BytesReturned>{sent}</BytesReturned></Stats>"
-    yield frame(event("Stats", "text/xml"), stats.encode())
+        yield from records()
+    yield counts("Stats")
     yield frame(event("End", ""), b"")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time as clock
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,3 +77,26 @@ def current(spark, path: str) -> DataFrame:
 def windowed_latency(events: DataFrame, time: str = "ts", value: str = "value", by: str = "event_type", length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Count and 50th and 99th percentiles of a value by window, for batches and streams."""
     return events.withWatermark(time, late).groupBy(F.window(time, length), by).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(value, [0.5, 0.99], 10_000).alias("p50_p99"))
+
+
+def run_jobs(jobs: dict[str, tuple[float, Callable[[], object]]], until: float, now: Callable[[], float] = clock.monotonic, sleep: Callable[[float], None] = clock.sleep) -> list[tuple[str, BaseException | None]]:
+    """Runs each job (seconds between runs, what to do) at once and then whenever it is due, one at a time, until the time ``until``.
+
+    Returns the runs in order with what they raised; a job that fails is run
+    again when it is due next.
+    """
+    due, done = {name: now() for name in jobs}, []
+    while due:
+        name = min(due, key=lambda n: (due[n], n))
+        if due[name] > until:
+            break
+        if due[name] > now():
+            sleep(due[name] - now())
+        error = None
+        try:
+            jobs[name][1]()
+        except Exception as e:  # a job's failure is its own
+            error = e
+        done.append((name, error))
+        due[name] = max(due[name] + jobs[name][0], now())
+    return done

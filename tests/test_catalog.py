@@ -113,3 +113,26 @@ def test_stream_equals_batch_and_goes_on(spark, tmp_path):
     make(50, 60).write.mode("append").parquet(f"{tmp_path}/in")
     run()
     assert sorted(tuple(r) for r in streaming.current(spark, f"{tmp_path}/out").collect()) == sorted((s % 7, s, 2 * s) for s in range(53, 60))
+
+
+def test_jobs_run_when_due():
+    from objsql.streaming import run_jobs
+
+    time, ran = [0.0], []
+
+    def fail():
+        ran.append("b")
+        raise ValueError("no")
+
+    done = run_jobs({"a": (2.0, lambda: ran.append("a")), "b": (3.0, fail)}, 6.0, lambda: time[0], lambda s: time.__setitem__(0, time[0] + s))
+    assert ran == ["a", "b", "a", "b", "a", "a", "b"] and [n for n, e in done if e] == ["b"] * 3
+
+
+def test_ring_replicas_of_few_nodes(spark):
+    from objsql.operators import replicas
+
+    keys = spark.range(200).selectExpr("cast(id as string) as key")
+    got = replicas.ring_replicas(keys, replicas.ring(["x", "y"], 5, spark), 3).groupBy("key").count().collect()
+    assert len(got) == 200 and all(r["count"] == 2 for r in got)
+    plan = replicas.ring_replicas(keys, replicas.ring(["x", "y", "z"], 50, spark), 2)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
