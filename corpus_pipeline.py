@@ -20,31 +20,37 @@ from objsql.llm.toxicity import fit_toxicity, toxicity
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain finds toxic go."""
+    """Documents that the classifier chain finds toxic go; null and empty texts stay, repeated rows stay or go alike."""
     chain = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity(docs, chain, filter=True)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, and with them documents that had nothing else; n_chars follows the text."""
+    """Repeated lines go, and with them documents that had nothing else; n_chars follows the text.
+
+    Of equally good lines that of the least document and line number stays. Null
+    and empty texts and rows with a null id stay as they are.
+    """
     dropped = "_n_dropped"
+    while dropped in docs.columns:
+        dropped += "_"
     out = dedup_lines(docs, count_col=dropped).where((F.col(dropped) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     changed = F.col(dropped) > 0
     return out.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, that with the least id; null, empty and wordless texts and rows with a null id stay."""
     return drop_near_duplicates(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; rows with a null id or text stay."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left is encoded; the ids come out packed."""
+    """What is left is encoded, a null text as an empty one; the ids come out packed."""
     coded = encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 

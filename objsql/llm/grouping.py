@@ -23,7 +23,7 @@ SALTS = 16
 DIRECT = 4096
 
 
-def verified_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: float, blockwise: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+def verified_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], ratio: float, blockwise: Callable[[DataFrame, DataFrame], DataFrame] | None = None, prepare: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """Links (a, b), a > b, that connect members (key, id, size) of a bucket just as all links between them would.
 
     ``verify`` gets candidate pairs (a, b) and returns those that hold, which
@@ -38,7 +38,8 @@ def verified_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
     costs as much as it has members; one of many texts that are alike in the
     key alone costs the square of what is outside. Of large such buckets
     ``blockwise``, if given, gets the members outside and all members, both (key,
-    id, size, own), and returns the links (a, b) between them, a > b.
+    id, size, own), and returns the links (a, b) between them, a > b. ``prepare``,
+    if given, gets all ids that may be compared before any is.
     """
     spark, scratch = members.sparkSession, []
 
@@ -62,7 +63,10 @@ def verified_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
 
     little = members.where(F.col("n") <= SMALL)
     large = members.where(F.col("n") > SMALL)
-    every = little.select("key", "id", "size").join(little.select("key", F.col("id").alias("other"), F.col("size").alias("its_size")), "key").where("id > other").where(like("size", "its_size")).select("id", "other")
+    every = little.select("key", "id", "size").join(little.select("key", F.col("id").alias("other"), F.col("size").alias("its_size")), "key").where("id > other").where(like("size", "its_size")).select("id", "other").distinct()
+    every = keep(every)
+    if prepare:
+        prepare(every.select(F.explode(F.array("id", "other")).alias("id")).union(large.select("id")).distinct())
     if large.isEmpty():
         compare(every)
         discard(spark, scratch)

@@ -65,7 +65,7 @@ def block_hashes(words: np.ndarray, weight: np.ndarray, firsts: np.ndarray, bloc
     """
     n = len(firsts) - 1
     owner = np.repeat(np.arange(n, dtype=np.uint64), np.diff(firsts))
-    feature = mix(words)
+    # The upper half of a word's hash chooses its block, the lower half votes.
     segment = owner * np.uint64(blocks) + ((words >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32))
     begins = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]])) if len(words) else np.zeros(0, np.int64)
     count = np.diff(np.append(begins, len(words)))
@@ -79,7 +79,7 @@ def block_hashes(words: np.ndarray, weight: np.ndarray, firsts: np.ndarray, bloc
     for j in range(0, bits, 4):
         if not len(begins):
             break
-        lanes = np.add.reduceat(_LANES[(feature >> np.uint64(j)) & np.uint64(15)] * weight, part_begins)
+        lanes = np.add.reduceat(_LANES[(words >> np.uint64(j)) & np.uint64(15)] * weight, part_begins)
         for i in range(min(4, bits - j)):
             votes = (lanes >> np.uint64(16 * i)) & np.uint64(0xFFFF)
             if len(part_begins) > len(begins):
@@ -151,7 +151,7 @@ def lines_of(run: Run, min_words: int) -> dict[str, np.ndarray]:
             meet.append(keys)
     # Another hash, of the sum of the words' hashes and their number: equal lines have equal ones, and it owes nothing to their order.
     total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(mix(words), out=total[1:])
+    np.cumsum(words, out=total[1:])
     check = mix(total[firsts[1:]] - total[firsts[:-1]] + n.astype(np.uint64))
     none = np.zeros(0, np.int64)
     return {
@@ -338,23 +338,23 @@ def edits_within(x: list[str], y: list[str], similarity: float) -> np.ndarray:
     return found
 
 
-def _place(seen: DataFrame) -> Column:
-    """Document id and line number as one number that orders by both: a long where the ids leave room for the lines."""
+def _place(seen: DataFrame) -> tuple[Column, int]:
+    """Document id and line number as one number that orders by both, id * lines + number, and lines: a long where the ids leave room for it."""
     r = seen.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("number").alias("lines")).first()
     lines = (r.lines or 0) + 1
     if r.low is None or max(abs(r.low), abs(r.high)) + 1 < (1 << 62) // lines:
-        return F.col("id") * F.lit(lines) + F.col("number")
-    return (F.col("id").cast("decimal(20,0)") * F.lit(lines).cast("decimal(11,0)") + F.col("number").cast("decimal(11,0)")).cast("decimal(33,0)")
+        return F.col("id") * F.lit(lines) + F.col("number"), lines
+    return (F.col("id").cast("decimal(20,0)") * F.lit(lines).cast("decimal(11,0)") + F.col("number").cast("decimal(11,0)")).cast("decimal(33,0)"), lines
 
 
 def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, similarity: float) -> DataFrame:
     """(id, version, number) of the line occurrences that go; version is a hash of the document's text."""
     texts = docs.where(docs[id_col].isNotNull() & (docs[text_col] != "")).select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).select("id", F.xxhash64("text").alias("version"), "text")
     seen = written(_occurrences(texts, min_words), "lines")
-    places = seen.select("key", "id", "version", "number", "check", _place(seen).alias("place"))
-    by_place = [F.min_by(c, "place").alias(c) for c in ("id", "number", "version")]
-    firsts = places.groupBy("key").agg(F.min("place").alias("first"), F.max("place").alias("last"), *by_place, F.min("check").alias("low"), F.max("check").alias("high"))
-    firsts = written(firsts.select("key", "first", "id", "number", "version", (F.col("first") < F.col("last")).alias("again"), (F.col("low") < F.col("high")).alias("clash")), "firsts")
+    place, lines = _place(seen)
+    places = seen.select("key", "id", "version", "number", "check", place.alias("place"))
+    firsts = places.groupBy("key").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.min_by("version", "place").alias("version"), F.min("check").alias("low"), F.max("check").alias("high"))
+    firsts = written(firsts.select("key", "first", "version", (F.col("first") < F.col("last")).alias("again"), (F.col("low") < F.col("high")).alias("clash")), "firsts")
 
     met = seen.select(F.explode("meets").alias("meet"), "key", "size")
     crowded = settled(met.groupBy("meet").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select(F.col("meet").alias("crowded")))
@@ -362,16 +362,15 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int,
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
     words: list[DataFrame] = []
 
+    def prepare(wanted: DataFrame) -> None:
+        """The texts of the lines that may be compared are fetched in one pass."""
+        wanted = settled(wanted.withColumnRenamed("id", "key"))
+        number = F.pmod("first", F.lit(lines))
+        first = firsts.join(small_side(wanted), "key").select(F.expr(f"(first - pmod(first, {lines})) div {lines}").cast("long").alias("id"), "version", number.cast("long").alias("number"), "key")
+        words.append(written(_line_texts(texts, first), "words"))
+
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        for known in words:
-            wanted = wanted.join(known, "key", "left_anti")
-        wanted = settled(wanted)
-        if not words or not wanted.isEmpty():
-            words.append(written(_line_texts(texts, firsts.join(small_side(wanted), "key").select("id", "version", "number", "key")), "words"))
         known = words[0]
-        for more in words[1:]:
-            known = known.union(more)
 
         def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -380,7 +379,7 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int,
         x, y = known.select(F.col("key").alias("a"), F.col("words").alias("x")), known.select(F.col("key").alias("b"), F.col("words").alias("y"))
         return pairs.repartition(tasks).join(small_side(x), "a").join(small_side(y), "b").select("a", "b", "x", "y").mapInArrow(hold, "a long, b long")
 
-    groups = settled(connected_groups(verified_links(members, verify, similarity)))
+    groups = settled(connected_groups(verified_links(members, verify, similarity, prepare=prepare)))
     # A root has no row in groups, so it is found by its group's rows.
     linked = settled(groups.select(F.col("id").alias("key"), "root").union(groups.select(F.col("root").alias("key"), "root").distinct()))
 

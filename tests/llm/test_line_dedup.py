@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from objsql.llm.line_dedup import block_hashes, dedup_lines, distinct_words, edits_within
-from objsql.llm.text_kernel import PUNCT, mix, runs
+from objsql.llm.text_kernel import PUNCT, runs
 from tests.llm.test_near_dedup import roots
 
 
@@ -27,7 +27,7 @@ def brute_meets(words):
         features = []
         for w in set(words):
             h = word_hash(w)
-            features.append(((h >> 32) * blocks >> 32, int(mix(np.array([h], np.uint64))[0]), min(len(w), 16)))
+            features.append(((h >> 32) * blocks >> 32, h, min(len(w), 16)))
         for block in range(blocks):
             own = [(f, x) for b, f, x in features if b == block]
             count[block], weight[block] = len(own), sum(x for _, x in own)
@@ -154,7 +154,7 @@ def test_recall_of_edit_similarity(spark):
 def test_block_hashes_of_long_lines():
     g = np.random.Generator(np.random.PCG64(5))
     sizes = [1, 3, 255, 40_000, 2]
-    hashes = g.integers(0, 1 << 63, sum(sizes), dtype=np.uint64) * np.uint64(2)
+    hashes = g.integers(0, 1 << 63, sum(sizes), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     hashes[300:400] = hashes[300]
     lengths = g.integers(1, 30, len(hashes))
     lengths[300:400] = 7
@@ -163,7 +163,7 @@ def test_block_hashes_of_long_lines():
     for k in range(len(sizes)):
         h, at = np.unique(hashes[firsts[k] : firsts[k + 1]], return_index=True)
         weight = np.minimum(lengths[firsts[k] : firsts[k + 1]], 16).astype(np.int64)[at]
-        block, feature = ((h >> np.uint64(32)) * np.uint64(4)) >> np.uint64(32), mix(h)
+        block, feature = ((h >> np.uint64(32)) * np.uint64(4)) >> np.uint64(32), h
         for b in range(4):
             own = block == b
             votes = [weight[own] @ ((feature[own] >> np.uint64(bit)) & np.uint64(1)).astype(np.int64) for bit in range(32)]

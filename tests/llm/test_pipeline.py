@@ -61,3 +61,48 @@ def test_each_stage_takes_effect(spark, tables):
 
 def test_run_gives_the_last_stage(spark, tables):
     assert pipeline.run(spark, tables).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _n_dropped string, id long, key string"
+
+
+def test_edge_cases_of_every_stage(spark, tables):
+    """Null ids and texts, repeated rows, very long texts and columns of clashing names go through; empty tables stay empty."""
+    long = prose(600, 200) + "\n" + " ".join(f"long{chr(97 + k % 26)}{k}" for k in range(60_000))
+    rows = [(1, None), (2, ""), (None, prose(601, 40)), (None, None), (3, prose(602, 40)), (3, prose(602, 40)), (4, long), (5, "?!"), (6, prose(603, 50))]
+    docs = spark.createDataFrame([(i, t, None, None, None, "n", 9, "k") for i, t in rows], SCHEMA)
+    want = sorted(rows, key=repr)
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, tables)
+        assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes), name
+        assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == want, name
+        assert {(r._n_dropped, r.id, r.key) for r in out.collect()} == {("n", 9, "k")}, name
+        assert stage(spark, docs.limit(0), tables).count() == 0, name
+    _, encode = pipeline.STAGES[-1]
+    assert encode(spark, docs, tables).count() == len(rows) and encode(spark, docs.limit(0), tables).count() == 0
+
+
+def test_run_equals_its_stages_by_brute_force(spark, tables):
+    """What run() gives, from plain Python: the documents left, their texts and their tokens."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{tables}/documents.parquet").collect()}
+    item = prose(500, 30)
+    left = {i: t for i, t in docs.items() if not (t or "").endswith("you utter idiot and scum")}
+    seen, kept = {}, {}
+    for i in sorted(left):
+        lines = []
+        for line in (left[i] or "").split("\n"):
+            words = line.lower().split()
+            # The table's only near copy of a line has a word more at its end.
+            if words and (tuple(words) in seen or tuple(words[:-1]) in seen):
+                continue
+            seen[tuple(words)] = i
+            lines.append(line)
+        text = None if left[i] is None else "\n".join(lines)
+        if left[i] in (None, "") or text.strip():
+            kept[i] = text
+    want = {i: t for i, t in kept.items() if item not in (t or "")}
+    import tiktoken
+
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=load_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    got = {r.doc_id: (r.n_tokens, r.decoded_sha256) for r in pipeline.run(spark, tables).collect()}
+    assert got == {i: (len(library.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in want.items()}
