@@ -65,7 +65,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 #: Bytes that may be broadcast, and what a row counts for beside its strings, arrays and maps.
-BROADCAST_BYTES, ROW_BYTES = 24 << 20, 48
+BROADCAST_BYTES, ROW_BYTES = 8 << 20, 48
 
 
 def _held(column: Column, kind: DataType) -> Column | None:

@@ -36,6 +36,8 @@ MIN_WORDS, SIMILARITY = 5, 0.8
 SCHEMES = ((1, 20, 4, 2, 24), (16, 50, 4, 1, 32), (40, 100, 6, 1, 32), (80, 200, 10, 1, 32), (160, None, 16, 1, 32))
 #: The words of a meeting place weigh this share of what they would on average, and are two if the line has two, at least: a few short words make lines meet that have nothing else in common.
 LEAST_SHARE = 0.5
+#: Bytes of the list of meeting places with company, a number each, that may be broadcast rather than shuffle all meeting places again.
+CROWDED_BYTES = 24 << 20
 #: Longer words weigh no more.
 MOST_WEIGHT = 16
 #: Features whose weights a 16-bit lane can sum.
@@ -358,7 +360,7 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int,
 
     met = seen.select(F.explode("meets").alias("meet"), "key", "size")
     crowded = settled(met.groupBy("meet").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select(F.col("meet").alias("crowded")))
-    members = met.join(small_side(crowded), F.col("meet") == F.col("crowded")).select(F.col("meet").alias("key"), F.col("key").alias("id"), "size")
+    members = met.join(small_side(crowded, CROWDED_BYTES), F.col("meet") == F.col("crowded")).select(F.col("meet").alias("key"), F.col("key").alias("id"), "size")
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
     words: list[DataFrame] = []
 
