@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,9 +33,11 @@ _own_folder: list[str] = []
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors see (spark.checkpoint.dir), or in a temporary one where that is unset, as in tests."""
+    """A new path in the folder that all executors see (spark.checkpoint.dir); where that is unset, in a temporary one if all runs in this process, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors see")
         if not _own_folder:
             _own_folder.append(tempfile.mkdtemp(prefix="objsql-"))
         folder = _own_folder[0]
