@@ -660,7 +660,7 @@ def journal_replay_stream(spark, sf_dir):
     e.repartition(4, "event_id").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
     streaming.latest_stream(stream, "user_id", "event_id", f"{folder}/out", f"{folder}/checkpoint")
-    return streaming.current(spark, f"{folder}/out")
+    return streaming.current(spark, f"{folder}/out", "user_id", "event_id")
 
 
 @query("SELECT event_id % 1000 AS operation_id, count(*) > 1 AS again FROM events GROUP BY 1")

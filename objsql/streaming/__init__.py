@@ -47,31 +47,24 @@ def replay(journal: DataFrame, key: tuple[str, ...] = ("bucket", "key"), sequenc
 
 
 def latest_stream(stream: DataFrame, key: str, sequence: str, path: str, checkpoint: str) -> None:
-    """Keeps the last row of each key of a stream under ``path``/current, a folder per batch; runs what is available and stops.
+    """Keeps the last row of each key of a stream under ``path``, a folder of changed rows per batch; runs what is available and stops.
 
-    Every batch is folded, merged with the state before it and written to a new
-    folder, then the pointer table names it; a batch that is run again writes
-    the same rows to the same place.
+    The last rows are in Spark's state store, so a batch reads and writes the
+    keys that it has alone; one that is run again writes its own folder anew.
     """
-    spark = stream.sparkSession
-
-    def merge(batch: DataFrame, number: int) -> None:
-        columns = batch.columns
-        fold = lambda df: df.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*columns), sequence).alias("row")).select("row.*")
-        new = fold(batch)
-        if number > 0:
-            new = fold(new.unionByName(spark.read.parquet(f"{path}/state-{number - 1}")))
-        new.write.mode("overwrite").parquet(f"{path}/state-{number}")
-        spark.createDataFrame([(number,)], "number long").coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
-
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    last = stream.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*stream.columns), sequence).alias("row"))
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.select("row.*").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = last.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def current(spark, path: str) -> DataFrame:
-    """The state that ``latest_stream`` has reached."""
-    number = spark.read.parquet(f"{path}/current").first().number
-    return spark.read.parquet(f"{path}/state-{number}")
+def current(spark, path: str, key: str, sequence: str) -> DataFrame:
+    """The state that ``latest_stream`` has reached: of each key the last change."""
+    changes = spark.read.parquet(path).drop("batch")
+    return changes.groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*changes.columns), sequence).alias("row")).select("row.*")
 
 
 def windowed_latency(events: DataFrame, time: str = "ts", value: str = "value", by: str = "event_type", length: str = "1 hour", late: str = "10 minutes") -> DataFrame:

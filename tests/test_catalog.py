@@ -112,7 +112,7 @@ def test_stream_equals_batch_and_goes_on(spark, tmp_path):
     run()
     make(50, 60).write.mode("append").parquet(f"{tmp_path}/in")
     run()
-    assert sorted(tuple(r) for r in streaming.current(spark, f"{tmp_path}/out").collect()) == sorted((s % 7, s, 2 * s) for s in range(53, 60))
+    assert sorted(tuple(r) for r in streaming.current(spark, f"{tmp_path}/out", "k", "seq").collect()) == sorted((s % 7, s, 2 * s) for s in range(53, 60))
 
 
 def test_jobs_run_when_due():
