@@ -38,6 +38,8 @@ SCHEMES = ((1, 20, 4, 2, 24), (16, 50, 4, 1, 32), (40, 100, 6, 1, 32), (80, 200,
 LEAST_SHARE = 0.5
 #: Bytes of the list of meeting places with company, a number each, that may be broadcast rather than shuffle all meeting places again.
 CROWDED_BYTES = 24 << 20
+#: Pairs of lines whose texts a task holds as strings.
+PAIRS_AT_ONCE = 4_000
 #: Longer words weigh no more.
 MOST_WEIGHT = 16
 #: Features whose weights a 16-bit lane can sum.
@@ -376,7 +378,9 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int,
 
         def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.select([0, 1]).filter(pa.array(edits_within(batch.column(2).to_pylist(), batch.column(3).to_pylist(), similarity)))
+                for start in range(0, len(batch), PAIRS_AT_ONCE):
+                    part = batch.slice(start, PAIRS_AT_ONCE)
+                    yield part.select([0, 1]).filter(pa.array(edits_within(part.column(2).to_pylist(), part.column(3).to_pylist(), similarity)))
 
         x, y = known.select(F.col("key").alias("a"), F.col("words").alias("x")), known.select(F.col("key").alias("b"), F.col("words").alias("y"))
         return pairs.repartition(tasks).join(small_side(x), "a").join(small_side(y), "b").select("a", "b", "x", "y").mapInArrow(hold, "a long, b long")

@@ -34,7 +34,7 @@ WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 COMMON, FLOOR = 0.01, 0.5
 #: Shingles that the search for common ones holds at a time.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 
 
 def shingles(run: Run, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -240,6 +240,8 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 #: Members, and bytes of their sets, that a block of a crowded bucket has, about.
 BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20
+#: Features of a block that are multiplied at a time.
+CHUNK_COLUMNS = 1024
 
 
 def _pairs_alike(rows: pa.Table, idf: Idf, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -270,11 +272,11 @@ def _pairs_alike(rows: pa.Table, idf: Idf, similarity: float) -> tuple[np.ndarra
     mine = np.flatnonzero(apart)
     row, column = who[shared], column[number[shared]]
     both = np.zeros((len(mine), len(sets)), np.float32)
-    for start in range(0, len(weight), 4096):
-        within = slice(*np.searchsorted(column, [start, start + 4096]))
-        part = np.zeros((len(sets), min(4096, len(weight) - start)), np.float32)
+    for start in range(0, len(weight), CHUNK_COLUMNS):
+        within = slice(*np.searchsorted(column, [start, start + CHUNK_COLUMNS]))
+        part = np.zeros((len(sets), min(CHUNK_COLUMNS, len(weight) - start)), np.float32)
         part[row[within], column[within] - start] = 1
-        both += (part[mine] * weight[start : start + 4096].astype(np.float32)) @ part.T
+        both += (part[mine] * weight[start : start + CHUNK_COLUMNS].astype(np.float32)) @ part.T
     union = size[mine][:, None] + size[None, :] - both
     near = (both >= (similarity - 0.01) * union) & (own[mine][:, None] != own[None, :])
     if block.min() != block.max():

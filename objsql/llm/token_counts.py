@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 #: Bytes of new pieces that one call of the library gets, and of texts that are gone through together.
 BATCH_BYTES = 1 << 20
 #: Bytes of pieces that a task remembers before it starts anew, and what a piece counts for beside its text.
-CACHE_BYTES, PIECE_BYTES = 48 << 20, 120
+CACHE_BYTES, PIECE_BYTES = 16 << 20, 120
 
 _SPACE = " \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = re.compile(rf"[{_SPACE}]*[^{_SPACE}]+(?:(?<=[\x1c-\x1f])[{_SPACE}]+[^{_SPACE}]+)*|[{_SPACE}]+")
