@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
@@ -91,3 +96,35 @@ def small_side(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """
     width = sum((h for f in df.schema.fields if (h := _held(df[f.name], f.dataType)) is not None), F.lit(ROW_BYTES))
     return F.broadcast(df) if (df.agg(F.sum(width).alias("n")).first().n or 0) <= most else df
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def give_back() -> None:
+    """What this process has freed goes back to the system, so that an idle Python worker doesn't keep it beside the next one's tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass  # not glibc
+
+
+def lean(work: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``work`` for mapInArrow, with freed memory given back when a task is over."""
+
+    def run(batches: Batches) -> Batches:
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Batches:
+    """A batch in order, in parts of about ``most`` bytes of a string column; a longer string is a part of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = before = 0
+    while start < len(batch):
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(start, stop - start)
+        start, before = stop, int(ends[stop - 1])

@@ -25,9 +25,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from objsql.llm.common import settled, small_side, written
+from objsql.llm.common import lean, settled, small_side, written
 from objsql.llm.grouping import connected_groups, verified_links
 from objsql.llm.text_kernel import PUNCT, Run, mix, runs, sequence_hashes
 
@@ -54,7 +53,7 @@ _TO_SPACE = bytes(0x20 if PUNCT[b] else b for b in range(256))
 def distinct_words(words: np.ndarray, lengths: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The words of each stretch, firsts[i] to firsts[i + 1], sorted and once each, with their weights; and where each stretch begins now."""
     owner = np.repeat(np.arange(len(firsts) - 1, dtype=np.uint64), np.diff(firsts))
-    order = np.argsort((owner << np.uint64(40)) | (words >> np.uint64(24)), kind="stable")
+    order = np.argsort((owner << np.uint64(40)) | (words >> np.uint64(24)))
     words, owner = words[order], owner[order]
     new = np.ones(len(words), bool)
     new[1:] = (words[1:] != words[:-1]) | (owner[1:] != owner[:-1])
@@ -122,9 +121,9 @@ def lines_of(run: Run, min_words: int) -> dict[str, np.ndarray]:
     n = np.diff(firsts)
     words = run.hashes(starts, ends)
     key = sequence_hashes(words, firsts)
-    digits = np.zeros(len(run.data) + 1, np.int64)
-    np.cumsum((raw.data >= 48) & (raw.data <= 57), out=digits[1:])
-    bare = np.flatnonzero((n > 0) & (n < min_words) & (digits[line_ends] > digits[line_starts]))
+    bare = np.flatnonzero((n > 0) & (n < min_words))
+    digits = np.flatnonzero(raw.data - np.uint8(48) < 10)
+    bare = bare[np.searchsorted(digits, line_ends[bare]) > np.searchsorted(digits, line_starts[bare])]
     if len(bare):
         size = (line_ends - line_starts)[bare]
         cut = np.concatenate([[0], np.cumsum(size)])
@@ -177,7 +176,7 @@ def _occurrences(docs: DataFrame, min_words: int) -> DataFrame:
                 columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(found["number"], pa.int64()), pa.array(found["key"].view(np.int64)), pa.array((found["check"] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(found["size"], pa.int32())]
                 yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(bounds), pa.array(found["meet"][order].view(np.int64)))], ["id", "version", "number", "key", "check", "size", "meets"])
 
-    return docs.mapInArrow(emit, "id long, version long, number long, key long, check int, size int, meets array<long>")
+    return docs.mapInArrow(lean(emit), "id long, version long, number long, key long, check int, size int, meets array<long>")
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -197,7 +196,7 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.string())], ["key", "words"])
 
     # A repeated row of a document gives its lines again.
-    return joined.mapInArrow(emit, "key long, words string").dropDuplicates(["key"])
+    return joined.mapInArrow(lean(emit), "key long, words string").dropDuplicates(["key"])
 
 
 def _common_start(x: str, y: str) -> int:
@@ -356,7 +355,8 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int,
     texts = docs.where(docs[id_col].isNotNull() & (docs[text_col] != "")).select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).select("id", F.xxhash64("text").alias("version"), "text")
     seen = written(_occurrences(texts, min_words), "lines")
     place, lines = _place(seen)
-    places = seen.select("key", "id", "version", "number", "check", place.alias("place"))
+    # Id and number are told by the place.
+    places = seen.select("key", "version", "check", place.alias("place"))
     firsts = places.groupBy("key").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.min_by("version", "place").alias("version"), F.min("check").alias("low"), F.max("check").alias("high"))
     firsts = written(firsts.select("key", "first", "version", (F.col("first") < F.col("last")).alias("again"), (F.col("low") < F.col("high")).alias("clash")), "firsts")
 
@@ -366,15 +366,24 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int,
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
     words: list[DataFrame] = []
 
+    def document(place: str) -> Column:
+        return F.expr(f"({place} - pmod({place}, {lines})) div {lines}").cast("long")
+
+    def number(place: str) -> Column:
+        return F.pmod(place, F.lit(lines)).cast("long")
+
     def prepare(wanted: DataFrame) -> None:
         """The texts of the lines that may be compared are fetched in one pass."""
         wanted = settled(wanted.withColumnRenamed("id", "key"))
-        number = F.pmod("first", F.lit(lines))
-        first = firsts.join(small_side(wanted), "key").select(F.expr(f"(first - pmod(first, {lines})) div {lines}").cast("long").alias("id"), "version", number.cast("long").alias("number"), "key")
+        first = firsts.join(small_side(wanted), "key").select(document("first").alias("id"), "version", number("first").alias("number"), "key")
         words.append(written(_line_texts(texts, first), "words"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         known = words[0]
+        # Later rounds compare few of the lines; the others' texts needn't be shuffled or broadcast.
+        own = settled(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+        if 2 * own.count() < known.count():
+            known = settled(known.join(small_side(own), "key", "left_semi"))
 
         def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -383,7 +392,7 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int,
                     yield part.select([0, 1]).filter(pa.array(edits_within(part.column(2).to_pylist(), part.column(3).to_pylist(), similarity)))
 
         x, y = known.select(F.col("key").alias("a"), F.col("words").alias("x")), known.select(F.col("key").alias("b"), F.col("words").alias("y"))
-        return pairs.repartition(tasks).join(small_side(x), "a").join(small_side(y), "b").select("a", "b", "x", "y").mapInArrow(hold, "a long, b long")
+        return pairs.repartition(tasks).join(small_side(x), "a").join(small_side(y), "b").select("a", "b", "x", "y").mapInArrow(lean(hold), "a long, b long")
 
     groups = settled(connected_groups(verified_links(members, verify, similarity, prepare=prepare)))
     # A root has no row in groups, so it is found by its group's rows.
@@ -394,12 +403,25 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int,
     some = settled(some)
     kept = settled(some.where("linked").groupBy("root").agg(F.min("first").alias("kept")))
     keep = settled(some.join(small_side(kept), "root", "left").select(F.col("key").alias("of"), "first", F.coalesce("kept", "first").alias("kept"), "clash"))
-    at = places.join(small_side(keep), F.col("key") == F.col("of"))
-    if not keep.where("clash").isEmpty():
+    clash = not keep.where("clash").isEmpty()
+    at = (places if clash else places.drop("check")).join(small_side(keep), F.col("key") == F.col("of"))
+    if clash:
         # Equal keys whose second hashes differ are different lines: only those equal to the first are dealt with.
         right = at.where("clash and place = first").groupBy("key").agg(F.min("check").alias("right")).withColumnRenamed("key", "clashing")
         at = at.join(small_side(settled(right)), F.col("key") == F.col("clashing"), "left").where("right is null or right = check")
-    return at.where(F.col("place") != F.col("kept")).select("id", "version", "number")
+    return at.where(F.col("place") != F.col("kept")).select(document("place").alias("id"), "version", number("place").alias("number"))
+
+
+def _flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of line numbers, the third column, as a byte for each line up to the last of them, 1 for those listed; and how many they are."""
+    for batch in batches:
+        flags = []
+        for numbers in batch.column(2):
+            at = numbers.values.to_numpy()
+            own = np.zeros(at.max(initial=-1) + 1, np.uint8)
+            own[at] = 1
+            flags.append(own.tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(flags, pa.binary()), pc.list_value_length(batch.column(2)).cast(pa.int64())], ["_objsql_id", "_objsql_version", "_objsql_gone", "_objsql_count"])
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY, count_col: str | None = None) -> DataFrame:
@@ -420,27 +442,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
       table gives an empty table. Ids must be integers.
     """
     gone = repeated_lines(docs, id_col, text_col, min_words, similarity)
-    by_doc = settled(gone.groupBy(F.col("id").alias("_objsql_id"), F.col("version").alias("_objsql_version")).agg(F.collect_set("number").alias("_objsql_gone")))
+    by_doc = gone.groupBy(F.col("id").alias("_objsql_id"), F.col("version").alias("_objsql_version")).agg(F.collect_set("number").alias("_objsql_gone"))
+    by_doc = settled(by_doc.mapInArrow(lean(_flags), "_objsql_id long, _objsql_version long, _objsql_gone binary, _objsql_count long"))
     names = [c for c in docs.columns if c != count_col]
     docs = docs.select(*names)
     here = (docs[id_col].cast("long") == F.col("_objsql_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_objsql_version"))
-    joined = docs.join(small_side(by_doc), here, "left").drop("_objsql_id", "_objsql_version")
-    place = names.index(text_col)
-
-    def take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gone, counts = batch.column(len(names)), np.zeros(len(batch), np.int64)
-            columns = list(batch.columns[: len(names)])
-            touched = pc.is_valid(gone)
-            if pc.any(touched).as_py():
-                new = []
-                rows = np.flatnonzero(touched.to_numpy(zero_copy_only=False))
-                for row in rows.tolist():
-                    out = set(gone[row].as_py())
-                    new.append("\n".join(line for n, line in enumerate(columns[place][row].as_py().split("\n")) if n not in out))
-                    counts[row] = len(out)
-                columns[place] = pc.replace_with_mask(columns[place], touched, pa.array(new, columns[place].type))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts)] if count_col else columns, [*names, count_col] if count_col else names)
-
-    schema = StructType([*docs.schema.fields, *([StructField(count_col, LongType())] if count_col else [])])
-    return joined.mapInArrow(take_out, schema)
+    joined = docs.join(small_side(by_doc), here, "left")
+    # A line's flag is looked up by its place, so that a text costs as much as it has lines.
+    stays = F.filter(F.split(docs[text_col], "\n", -1), lambda _, n: F.col("_objsql_gone").substr(n + 1, F.lit(1)) != F.lit(b"\x01"))
+    text = F.when(F.col("_objsql_gone").isNull(), docs[text_col]).otherwise(F.array_join(stays, "\n")).cast(docs.schema[text_col].dataType)
+    columns = [text.alias(c) if c == text_col else docs[c] for c in names]
+    return joined.select(*columns, *([F.coalesce("_objsql_count", F.lit(0)).cast("long").alias(count_col)] if count_col else []))

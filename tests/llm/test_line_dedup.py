@@ -189,3 +189,14 @@ def test_edits_within():
         assert (edits_within(x, y, similarity) == want).all()
     assert edits_within([], [], 0.8).tolist() == []
     assert edits_within(["".join(map(chr, range(0x4E00, 0x4E00 + 3000)))], ["".join(map(chr, range(0x5E00, 0x5E00 + 3000)))], 0.8).tolist() == [False]
+
+
+def test_texts_are_cut_without_python(spark):
+    """Lines go, the first and the last and empty ones included, by Spark's own functions: texts aren't sent through Python for it."""
+    rows = [(1, "alpha beta\n\ngamma \u00e9t\u00e9\n"), (2, "\nalpha beta\nown line\n\nALPHA, beta"), (3, "alpha beta"), (4, "gamma \u00e9t\u00e9\n"), (5, None), (6, ""), (7, "\n".join(f"line of {chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)) + "\nalpha beta\n\nend")]
+    out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), count_col="n")
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.doc_id: (r.text, r.n) for r in out.collect()}
+    assert got[1] == (rows[0][1], 0) and got[2] == ("\nown line\n", 2) and got[3] == ("", 1)
+    assert got[4] == ("", 1) and got[5] == (None, 0) and got[6] == ("", 0)
+    assert got[7] == (rows[6][1].replace("\nalpha beta", ""), 1)
