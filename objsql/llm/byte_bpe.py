@@ -25,10 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from objsql.llm.common import lean, slices
 from objsql.llm.token_counts import CACHE_BYTES, batches_of, held_bytes, pieces_of
 
 #: Bytes of text whose new words are replayed together.
-CORPUS_BYTES = 4 << 20
+CORPUS_BYTES = 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -185,6 +186,21 @@ class TextCodec:
         return self.replay.decode(np.frombuffer(ids, "<u4").tolist())
 
 
+def encoded(batches: Iterator[pa.RecordBatch], codec: TextCodec, ids: bool) -> Iterator[pa.RecordBatch]:
+    """Batches of (id, text) as ``encode_documents`` has them; a batch's ids take several times its text until they are sent, so they go in parts."""
+    for batch in (part for whole in batches for part in slices(whole, 1, codec.corpus_bytes)):
+        n_tokens, coded, own, decoded = [], [], [], []
+        for found in codec.encode(batch.column(1).to_pylist()):
+            n_tokens.append(len(found) // 4)
+            own.append(hashlib.sha256(found).hexdigest())
+            decoded.append(hashlib.sha256(codec.decode(found)).hexdigest())
+            if ids:
+                coded.append(found)
+        columns = [batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(own, pa.string()), pa.array(decoded, pa.string())]
+        names = ["_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(coded, pa.binary())] if ids else columns, [*names, "ids"] if ids else names)
+
+
 def encode_documents(
     docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True
 ) -> DataFrame:
@@ -200,19 +216,8 @@ def encode_documents(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = TextCodec(replay_of(ranks_path), pattern)
-        for batch in batches:
-            n_tokens, coded, own, decoded = [], [], [], []
-            for found in codec.encode(batch.column(1).to_pylist()):
-                n_tokens.append(len(found) // 4)
-                own.append(hashlib.sha256(found).hexdigest())
-                decoded.append(hashlib.sha256(codec.decode(found)).hexdigest())
-                if ids:
-                    coded.append(found)
-            columns = [batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(own, pa.string()), pa.array(decoded, pa.string())]
-            names = ["_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(coded, pa.binary())] if ids else columns, [*names, "ids"] if ids else names)
+        return encoded(batches, TextCodec(replay_of(ranks_path), pattern), ids)
 
     narrow = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
     schema = f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids
-    return narrow.mapInArrow(encode, schema).withColumnRenamed("_id", id_col)
+    return narrow.mapInArrow(lean(encode), schema).withColumnRenamed("_id", id_col)

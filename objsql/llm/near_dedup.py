@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from objsql.llm.common import settled, small_side, written
+from objsql.llm.common import lean, settled, small_side, written
 from objsql.llm.grouping import connected_groups, verified_links
 from objsql.llm.text_kernel import PUNCT, Run, combine, mix, runs, sequence_hashes
 
@@ -111,7 +111,7 @@ def common_shingles(texts: DataFrame, n_docs: int, width: int = WIDTH, common: f
             often = counts >= max(1, common / 2 * rows)
             yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["gram", "n"])
 
-    reported = texts.mapInArrow(report, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= common / 2 * n_docs)
+    reported = texts.mapInArrow(lean(report), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= common / 2 * n_docs)
     likely = np.sort(np.array([r.gram for r in reported.select("gram").collect()], np.int64).view(np.uint64))
     if not len(likely):
         return Idf(likely, np.zeros(0))
@@ -125,7 +125,7 @@ def common_shingles(texts: DataFrame, n_docs: int, width: int = WIDTH, common: f
                 total += np.bincount(at[likely[at] == grams], minlength=len(likely))
         yield pa.RecordBatch.from_arrays([pa.array(likely.view(np.int64)), pa.array(total)], ["gram", "n"])
 
-    rows = texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= common * n_docs).collect()
+    rows = texts.mapInArrow(lean(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= common * n_docs).collect()
     hashes = np.array([r.gram for r in rows], np.int64).view(np.uint64)
     value = np.clip(np.log(n_docs / np.array([r.n for r in rows], np.float64)) / np.log(1 / common), floor, 1.0)
     order = np.argsort(hashes)
@@ -206,7 +206,7 @@ def _sketches(docs: DataFrame, idf: Idf, width: int, bands: int, rows: int) -> D
                 yield pa.RecordBatch.from_arrays(columns, ["id", "content", "check", "size", "bands"])
                 start += len(run)
 
-    return docs.mapInArrow(sketch, "id long, content long, check int, size double, bands array<long>")
+    return docs.mapInArrow(lean(sketch), "id long, content long, check int, size double, bands array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -224,7 +224,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 )
                 start += len(run)
 
-    return docs.mapInArrow(pack, "id long, content long, grams binary, counts binary")
+    return docs.mapInArrow(lean(pack), "id long, content long, grams binary, counts binary")
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -357,7 +357,7 @@ def near_duplicates(
                     keep[n] = weighted_jaccard(*both) >= similarity
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-        return pairs.join(b, "b").join(a, "a").select("a", "b", "a_grams", "a_counts", "b_grams", "b_counts").mapInArrow(hold, "a long, b long")
+        return pairs.join(b, "b").join(a, "a").select("a", "b", "a_grams", "a_counts", "b_grams", "b_counts").mapInArrow(lean(hold), "a long, b long")
 
     def crowded(apart: DataFrame, every: DataFrame) -> DataFrame:
         return crowded_links(apart, every, sets.join(small_side(settled(every.select("id").distinct())), "id", "left_semi"), idf, similarity)

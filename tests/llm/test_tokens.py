@@ -99,3 +99,24 @@ def test_repeated_rows_and_clashing_names(spark):
     df = spark.createDataFrame([(1, "a b", "n", "i")] * 3 + [(None, None, None, None)], "doc_id long, text string, n_tokens string, _id string")
     assert sorted((r.doc_id or 0, r.n_tokens) for r in token_counts(df, P.path("byte_bpe_50k.json")).collect()) == [(0, 0), (1, 2), (1, 2), (1, 2)]
     assert sorted((r.doc_id or 0, r.n_tokens) for r in encode_documents(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()) == [(0, 0), (1, 2), (1, 2), (1, 2)]
+
+
+def test_a_batch_is_encoded_in_parts():
+    """The ids of a large batch don't have to be held together."""
+    import pyarrow as pa
+
+    from objsql.llm.byte_bpe import encoded
+    from objsql.llm.common import slices
+
+    texts = ["some words of text " * 2000, None, "", "more \u00e9 words " * 9000, "x"] * 6
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["_id", "_text"]).slice(1)
+    parts = list(slices(batch, 1, 100_000))
+    assert pa.Table.from_batches(parts) == pa.Table.from_batches([batch])
+    assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p.column(1).to_pylist()) <= 100_000 for p in parts)
+    codec = TextCodec(MergeReplay(load_ranks(P.path("byte_bpe_50k.tiktoken"))), P.PATTERN, corpus_bytes=100_000)
+    out = list(encoded(iter([batch]), codec, True))
+    assert len(out) == len(parts) > 1
+    rows = pa.Table.from_batches(out).to_pylist()
+    assert [r["_id"] for r in rows] == list(range(1, len(texts)))
+    assert all(codec.decode(r["ids"]).decode() == (texts[r["_id"]] or "") for r in rows)
+    assert list(slices(batch.slice(0, 0), 1, 10)) == []
