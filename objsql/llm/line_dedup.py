@@ -176,7 +176,7 @@ def _occurrences(docs: DataFrame, min_words: int) -> DataFrame:
                 columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(found["number"], pa.int64()), pa.array(found["key"].view(np.int64)), pa.array((found["check"] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(found["size"], pa.int32())]
                 yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(bounds), pa.array(found["meet"][order].view(np.int64)))], ["id", "version", "number", "key", "check", "size", "meets"])
 
-    return docs.mapInArrow(lean(emit), "id long, version long, number long, key long, check int, size int, meets array<long>")
+    return docs.mapInArrow(lean(emit, 2), "id long, version long, number long, key long, check int, size int, meets array<long>")
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:

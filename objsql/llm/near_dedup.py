@@ -93,6 +93,13 @@ def common_shingles(texts: DataFrame, n_docs: int, width: int = WIDTH, common: f
     shingles of a row) / (common / 2) members, and is counted exactly.
     """
 
+    def in_order(held: list[np.ndarray]) -> np.ndarray:
+        """All numbers sorted, without another copy; the list is emptied."""
+        out = np.concatenate(held)
+        held.clear()
+        out.sort()
+        return out
+
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         held, size, rows = [], 0, 0
         for batch in batches:
@@ -101,17 +108,17 @@ def common_shingles(texts: DataFrame, n_docs: int, width: int = WIDTH, common: f
                 held.append(grams)
                 size, rows = size + len(grams), rows + len(run)
                 if size >= chunk:
-                    yield *_runs_of_counts(np.sort(np.concatenate(held))), rows
-                    held, size, rows = [], 0, 0
+                    yield *_runs_of_counts(in_order(held)), rows
+                    size = rows = 0
         if held:
-            yield *_runs_of_counts(np.sort(np.concatenate(held))), rows
+            yield *_runs_of_counts(in_order(held)), rows
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for values, counts, rows in chunks(batches):
             often = counts >= max(1, common / 2 * rows)
             yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["gram", "n"])
 
-    reported = texts.mapInArrow(lean(report), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= common / 2 * n_docs)
+    reported = texts.mapInArrow(lean(report, 0), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= common / 2 * n_docs)
     likely = np.sort(np.array([r.gram for r in reported.select("gram").collect()], np.int64).view(np.uint64))
     if not len(likely):
         return Idf(likely, np.zeros(0))
@@ -125,7 +132,7 @@ def common_shingles(texts: DataFrame, n_docs: int, width: int = WIDTH, common: f
                 total += np.bincount(at[likely[at] == grams], minlength=len(likely))
         yield pa.RecordBatch.from_arrays([pa.array(likely.view(np.int64)), pa.array(total)], ["gram", "n"])
 
-    rows = texts.mapInArrow(lean(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= common * n_docs).collect()
+    rows = texts.mapInArrow(lean(count, 0), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= common * n_docs).collect()
     hashes = np.array([r.gram for r in rows], np.int64).view(np.uint64)
     value = np.clip(np.log(n_docs / np.array([r.n for r in rows], np.float64)) / np.log(1 / common), floor, 1.0)
     order = np.argsort(hashes)
@@ -206,7 +213,7 @@ def _sketches(docs: DataFrame, idf: Idf, width: int, bands: int, rows: int) -> D
                 yield pa.RecordBatch.from_arrays(columns, ["id", "content", "check", "size", "bands"])
                 start += len(run)
 
-    return docs.mapInArrow(lean(sketch), "id long, content long, check int, size double, bands array<long>")
+    return docs.mapInArrow(lean(sketch, 1), "id long, content long, check int, size double, bands array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -224,7 +231,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 )
                 start += len(run)
 
-    return docs.mapInArrow(lean(pack), "id long, content long, grams binary, counts binary")
+    return docs.mapInArrow(lean(pack, 1), "id long, content long, grams binary, counts binary")
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:

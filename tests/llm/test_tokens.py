@@ -120,3 +120,14 @@ def test_a_batch_is_encoded_in_parts():
     assert [r["_id"] for r in rows] == list(range(1, len(texts)))
     assert all(codec.decode(r["ids"]).decode() == (texts[r["_id"]] or "") for r in rows)
     assert list(slices(batch.slice(0, 0), 1, 10)) == []
+
+
+def test_operators_get_batches_in_slices():
+    import pyarrow as pa
+
+    from objsql.llm.common import SLICE_BYTES, lean
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["word " * 100_000, None] * 20)], ["id", "text"])
+    got = list(lean(lambda batches: batches, 1)(iter([batch, batch.slice(3)])))
+    assert pa.Table.from_batches(got) == pa.Table.from_batches([batch, batch.slice(3)])
+    assert len(got) > 2 and max(sum(len(t or "") for t in b.column(1).to_pylist()) for b in got) <= SLICE_BYTES
