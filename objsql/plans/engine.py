@@ -63,7 +63,14 @@ class Engine:
             except Exception:  # the query itself will name the error
                 return False
 
-        sql = rewritten(sql, dialect, is_whole if dialect == "strict" and source else None)
+        def type_of(query: str) -> str | None:
+            try:
+                check(self.spark, query)  # a statement would be run at once
+                return self.spark.sql(query).schema[0].dataType.simpleString()
+            except Exception:  # it names columns of the query around it, or the query itself will name the error
+                return None
+
+        sql = rewritten(sql, dialect, is_whole if dialect == "strict" and source else None, type_of if dialect == "extended" else None)
         check(self.spark, sql, dialect)
         df, most = self.spark.sql(sql), self.limits.max_result_rows
         if most is None:

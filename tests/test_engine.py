@@ -145,6 +145,47 @@ def test_forms_that_spark_lacks(engine, sql, want):
     assert [tuple(r) for r in rows] == [want]
 
 
+def _goes_through_pairs(df):
+    return "NestedLoop" in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("op", ["=", "<>", "!=", "<", "<=", ">", ">="])
+@pytest.mark.parametrize("which", ["ANY", "ALL"])
+def test_any_and_all_read_the_subquery_once(engine, op, which):
+    big = "(SELECT id AS a FROM range(300000)) t"
+    df = engine.query_tables(f"SELECT count(*) AS n FROM {big} WHERE a {op} {which} (SELECT id + 1 FROM range(300000)) OR a < 0", {})
+    assert not _goes_through_pairs(df)
+    want = {("=", "ANY"): 299_999, ("<>", "ANY"): 300_000, ("<", "ANY"): 300_000, ("<=", "ANY"): 300_000, (">", "ANY"): 299_998, (">=", "ANY"): 299_999, ("<>", "ALL"): 1, ("<", "ALL"): 1, ("<=", "ALL"): 2}
+    assert df.first().n == want.get((op.replace("!=", "<>"), which), 0)
+
+
+def test_any_and_all_name_what_with_defines(engine):
+    sql = "WITH c AS (SELECT id AS v FROM range(10)), d AS (SELECT v FROM c WHERE v >= ALL (SELECT v - 2 FROM c)) SELECT v FROM d WHERE v > ANY (WITH e AS (SELECT v FROM d) SELECT v FROM e) ORDER BY v"
+    df = engine.query_tables(sql, {})
+    assert not _goes_through_pairs(df)
+    assert [r.v for r in df.collect()] == [8, 9]
+
+
+@pytest.mark.parametrize("left,rows,values", [("a", "SELECT w FROM u", (10, 25, None)), ("a", "SELECT w FROM u WHERE k > 9", ()), ("a", "SELECT w FROM u WHERE w > 0", (10, 25)), ("a", "SELECT nullif(w, w) FROM u", (None,)), ("a", "SELECT string(w) FROM u", (10, 25, None)), ("a", "SELECT '9' UNION ALL SELECT '10'", (9, 10)), ("b", "SELECT string(w) FROM u", ("10", "25", None)), ("a", "SELECT w FROM u WHERE k = t.k", None)])
+@pytest.mark.parametrize("negated", [False, True])
+def test_any_and_all_are_three_valued(engine, left, rows, values, negated):
+    table = [(1, 10, "10"), (2, 9, "9"), (3, None, None), (4, 30, "30")]
+    test = {"=": lambda x, v: x == v, "<>": lambda x, v: x != v, "<": lambda x, v: x < v, ">=": lambda x, v: x >= v}
+    views = "WITH t AS (SELECT * FROM VALUES (1, 10, '10'), (2, 9, '9'), (3, NULL, NULL), (4, 30, '30') AS t(k, a, b)), u AS (SELECT * FROM VALUES (1, 10), (2, 25), (3, NULL) AS u(k, w)) "
+    by_key = {1: (10,), 2: (25,), 3: (None,)}
+    forms, want = [], []
+    for op in test:
+        for which, sure in (("ANY", True), ("ALL", False)):
+            forms.append(f"SELECT '{op} {which}' AS form, k FROM t WHERE {'NOT ' * negated}{left} {op} {which} ({rows})")
+            for k, a, b in table:
+                x = a if left == "a" else b
+                found = [None if x is None or v is None else test[op](x, v) for v in (by_key.get(k, ()) if values is None else values)]
+                if (sure if sure in found else None if None in found else not sure) is not negated and (sure in found or None not in found):
+                    want.append((f"{op} {which}", k))
+    got = engine.query_tables(views + " UNION ALL ".join(forms), {}).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_strict_numbers(engine, tmp_path):
     p = put(tmp_path, "n.csv", "a,b,f,s\n7,2,7.0,x\n")
     assert ask(engine, p, "SELECT a / b, f / b, a * 3 / b / 2, -a / b, CAST(s AS INT), CAST(a AS DECIMAL) / b FROM s3object WHERE a / b = 3", dialect="strict") == [(3, 3.5, 5, -3, None, 3.5)]
